@@ -166,31 +166,37 @@ def fit_cutoffs(labelled: DataFrame, risk: Risk = Risk()) -> DataFrame:
     return each.select("stratum", "signal", best["cutoff"].alias("cutoff")).filter("cutoff is not null")
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, dict[str, str]]:
-    """df with the measures, base_failed and kept, and the names they got.
+def cutoffs_for(measured: DataFrame, names: dict[str, str], labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """The cutoffs learnt from the labelled rows of what measures() gave. Only numbers are shuffled to meet the labels."""
+    rows = measured.select(F.col(f"`{id_col}`").alias("id"), stratum(lang_col, risk).alias("stratum"), *[F.col(f"`{names[c]}`").alias(c) for c in (*MEASURES, "base_failed")])
+    known = labels.select(F.col("doc_id").alias("id"), "quality").filter("id is not null and quality in (0, 1)")
+    return fit_cutoffs(rows.filter("not base_failed").join(known, "id"), risk)
 
-    labels: doc_id, quality. A label counts once for each document row with its id; null ids and null labels match
-    nothing. Documents without words fail the base rules. Without enough labelled good documents in a stratum no cutoff
-    passes, and only the base rules reject there. An empty table stays empty.
-    """
-    cut = cutoffs_for(df, labels, risk, id_col, text_col, lang_col)
-    out, names = measures(df, text_col)
+
+def judge(measured: DataFrame, names: dict[str, str], cutoffs: DataFrame, risk: Risk = Risk(), lang_col: str = "lang") -> tuple[DataFrame, dict[str, str]]:
+    """What measures() gave, with kept: neither the base rules nor a cutoff of the row's stratum rejects it."""
     own: list[str] = []
     for c in ("kept", "quality_key", "quality_stratum", "quality_cuts"):
-        own.append(fresh(c, [*out.columns, *own]))
+        own.append(fresh(c, [*measured.columns, *own]))
     kept, key, other, cuts = own
     # five rows of four numbers at most, as strata and signals are fixed lists
-    table = cut.groupBy(F.col("stratum").alias(other)).agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias(cuts))
-    joined = out.withColumn(key, stratum(lang_col, risk)).join(F.broadcast(table), F.col(key) == F.col(other), "left")
+    table = cutoffs.groupBy(F.col("stratum").alias(other)).agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias(cuts))
+    joined = measured.withColumn(key, stratum(lang_col, risk)).join(F.broadcast(table), F.col(key) == F.col(other), "left")
     rejected = F.lit(False)
     for s in SIGNALS:
         rejected = rejected | s.over(F.col(cuts)[s.name], names)
     return joined.withColumn(kept, ~F.col(names["base_failed"]) & ~rejected).drop(key, other, cuts), names | {"kept": kept}
 
 
-def cutoffs_for(df: DataFrame, labels: DataFrame, risk: Risk, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The cutoffs learnt from the labelled rows of df. Only numbers are shuffled to meet the labels, no texts."""
-    plain = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), stratum(lang_col, risk).alias("stratum"))
-    measured, _ = measures(plain)
-    known = labels.select(F.col("doc_id").alias("id"), "quality").filter("id is not null and quality in (0, 1)")
-    return fit_cutoffs(measured.filter("not base_failed").drop("text").join(known, "id"), risk)
+def quality_rules(df: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, dict[str, str]]:
+    """df with the measures, base_failed and kept, and the names they got.
+
+    labels: doc_id, quality. A label counts once for each document row with its id; null ids and null labels match
+    nothing. Documents without words fail the base rules. Without enough labelled good documents in a stratum no cutoff
+    passes, and only the base rules reject there. An empty table stays empty.
+
+    Texts are measured twice, for the cutoffs and for the verdicts, and never shuffled or stored. Where only numbers are
+    wanted, measure once, keep the numbers, and call cutoffs_for and judge on them.
+    """
+    measured, names = measures(df, text_col)
+    return judge(measured, names, cutoffs_for(measured, names, labels, risk, id_col, lang_col), risk, lang_col)

@@ -7,14 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowset.llm import exact_dedup, mixing, packing, quality, simhash, token_counts, token_files
-from sparrowset.llm.common import work_dir
+from sparrowset.llm import chat, exact_dedup, mixing, packing, quality, simhash, token_counts, token_files, toxicity, urls
+from sparrowset.llm.common import checkpointed, work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_turns(rows))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
 
@@ -37,10 +44,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, names = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    measured, names = quality.measures(table(spark, sf_dir, "documents"))
+    measured = checkpointed(measured.drop("text"))
+    judged, names = quality.judge(measured, names, quality.cutoffs_for(measured, names, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", *[F.col(names[c]).alias(c) for c in (*quality.MEASURES, "base_failed", "kept")])
 
 
+RULES = (
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("allow", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, names = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", *[F.col(names[c]).alias(c) for c in ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored, score, _ = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,11 +81,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filters": op7_url_filters,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
@@ -131,8 +164,31 @@ FROM b LEFT JOIN rejected USING (r)
 """
 
 
+def _op7_sql() -> str:
+    """Rules as rows, terms as patterns with a look at both sides; \\x01 never occurs in a term."""
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+    has = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    # hits of one term, also those that share a boundary: every boundary is doubled first
+    count = lambda t: f"len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){t.replace('-', '--')}([^a-z0-9]|$)'))"
+    return f"""
+WITH p AS (
+    SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM pages
+), h AS (
+    SELECT *, regexp_extract(low, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+           CAST({" + ".join(map(count, urls.STRICT))} AS INTEGER) AS strict_hits, {" + ".join(f"CAST({has(t)} AS INTEGER)" for t in urls.SOFT)} AS soft_hits FROM p
+), rules(verdict, rule_host, rule_path) AS (VALUES {rules}), best AS (
+    SELECT r, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS rule,
+           first(verdict ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS said
+    FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN strict_hits > 0 OR soft_hits >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+FROM h LEFT JOIN best USING (r)
+"""
+
+
 ORACLE = {
     "op4_exact_dedup": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op6_quality_rules": _op6_sql(),
+    "op7_url_filters": _op7_sql(),
 }
