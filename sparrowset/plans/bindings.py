@@ -330,7 +330,7 @@ def q5_spread(spark, d):
 
 @query
 def q6_exists_count(spark, d):
-    year = filters.between(parquet(spark, d, "orders"), "o_orderdate", F.lit("1995-01-01").cast("timestamp"), F.lit("1996-01-01").cast("timestamp"))
+    year = filters.between(parquet(spark, d, "orders"), "o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz"))
     late = filters.filter_and(parquet(spark, d, "lineitem"), ["l_discount"], ["<"], [F.col("l_tax")])
     return order.sort(groups.count(joins.semi_join(year, late, "o_orderkey", "l_orderkey"), ["o_orderpriority"], "order_count"), ["o_orderpriority"])
 
@@ -339,9 +339,9 @@ def q6_exists_count(spark, d):
 def q7_masked_sum(spark, d):
     cents, percent = long(F.round(F.col("l_extendedprice") * 100), "cents"), long(F.round(F.col("l_discount") * 100), "percent")
     lines = parquet(spark, d, "lineitem")
-    lines = filters.between(lines, "l_shipdate", F.lit("1995-01-01").cast("timestamp"), F.lit("1996-01-01").cast("timestamp"))
+    lines = filters.between(lines, "l_shipdate", F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz"))
     lines = filters.filter_and(lines, ["l_quantity"], ["<"], [24]).select(cents, percent)
-    return groups.total(filters.between(lines, "percent", 3, 7, closed=True), ring.wrap_mul("cents", "percent"), "revenue")
+    return groups.total(filters.between(lines, "percent", 3, 7, closed=True), F.col("cents") * F.col("percent"), "revenue")
 
 
 @query
