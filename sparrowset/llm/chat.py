@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowset.llm.common import checkpointed, small_or_shuffled
+
 
 @dataclass(frozen=True)
 class Role:
@@ -85,36 +87,95 @@ class Template:
 
 
 DEFAULT = Template()
-TURN = "conv_id long, turn long, role string, segments array<struct<text:string,loss:boolean>>, in_order boolean"
+#: Turns of one conversation that are formatted together: those whose numbers share this quotient.
+CHUNK_TURNS = 1000
+START = "start"
+TURNS = "conv_id long, chunk long, pos long, turn long, role string, segments array<struct<text:string,loss:boolean>>, in_order boolean"
+
+
+def _step(template: Template, state: str, role: str) -> tuple[str, bool]:
+    """(next state, whether the turn was in order)."""
+    nxt = template.transitions.get(state, {}).get(role)
+    return (state if nxt is None else nxt), nxt is not None
+
+
+def _by_chunk(rows: DataFrame, *more: str) -> DataFrame:
+    """Chunks whole in a partition, their rows in order; a hot conversation's chunks go to many partitions."""
+    return rows.repartition("conv_id", "chunk").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "chunk", F.col("turn").asc_nulls_first(), "role", *more)
 
 
-def format_turns(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """conv_id, turn, role, segments, in_order: one row per turn, sorted by turn within each conversation.
+def chunk_states(rows: DataFrame, template: Template = DEFAULT) -> DataFrame:
+    """conv_id, chunk, state: the machine's state before each chunk of the conversations that have several.
+
+    A chunk maps each state to the state after it, whatever came before; these maps, one row for each chunk, are then
+    applied in order. Only roles are read, and only of such conversations.
+    """
+    spans = rows.groupBy(F.col("conv_id").alias("id")).agg(F.min("chunk").alias("first"), F.max("chunk").alias("last")).filter("first < last")
+    long = rows.select("conv_id", "chunk", "turn", "role").join(spans, F.col("conv_id").eqNullSafe(F.col("id")), "left_semi")
+    states = sorted({START, *template.transitions, *(s for t in template.transitions.values() for s in t.values())})
+
+    def maps(batches):
+        import pyarrow as pa
+
+        names = ["conv_id", "chunk", "after"]
+        last, after = None, []
+        for batch in batches:
+            for conv, chunk, role in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "chunk", "role")), strict=True):
+                if last != (conv, chunk):
+                    if last:
+                        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([after], pa.list_(pa.string()))], names)
+                    last, after = (conv, chunk), states
+                after = [_step(template, s, role)[0] for s in after]
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([after], pa.list_(pa.string()))], names)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        last, state = object(), START
+        for batch in batches:
+            found = []
+            for conv, chunk, after in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if conv != last:
+                    last, state = conv, START
+                found.append(state)
+                state = after[states.index(state)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["conv_id", "chunk", "state"])
+
+    after = _by_chunk(long).mapInArrow(maps, "conv_id long, chunk long, after array<string>")
+    return after.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "chunk").mapInArrow(fold, "conv_id long, chunk long, state string")
+
+
+def format_turns(df: DataFrame, template: Template = DEFAULT, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """One row per turn: conv_id, chunk, pos, turn, role, segments, in_order. (chunk, pos) is its place in the
+    conversation.
 
     df: conv_id, turn, role, text; other columns are not read. Turns are ordered by turn, null first, equal ones by role
     and text; null roles and texts are empty; rows with null conv_id are one conversation. Repeated rows are turns of
-    their own. An empty table gives no rows. A conversation's rows stream through one task in order and none but the
-    machine's state is kept, so its length doesn't matter for memory.
+    their own. An empty table gives no rows. A conversation of many turns is dealt out by chunks of turn numbers, each
+    of which starts in the state that the chunks before it lead to; rows stream through the tasks and aren't gathered.
     """
-    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+    chunk = F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(1 << 62)))
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", chunk)
+    states = checkpointed(chunk_states(rows, template)).select(F.col("conv_id").alias("id"), F.col("chunk").alias("at"), "state")
+    begun = rows.join(small_or_shuffled(states), F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("chunk") == F.col("at")), "left").select(*rows.columns, "state")
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), ("in_order", pa.bool_())])
-        last, state = object(), "start"
+        kind = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("pos", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), ("in_order", pa.bool_())])
+        last, state, pos = None, START, 0
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if r["conv_id"] != last:
-                    last, state = r["conv_id"], "start"
-                nxt = template.transitions.get(state, {}).get(r["role"])
-                state = nxt or state
-                out.append({"conv_id": r["conv_id"], "turn": r["turn"], "role": r["role"], "segments": [{"text": t, "loss": x} for t, x in template.segments(r["role"], r["text"])], "in_order": nxt is not None})
+                if last != (r["conv_id"], r["chunk"]):
+                    last, state, pos = (r["conv_id"], r["chunk"]), r["state"] or START, 0
+                state, in_order = _step(template, state, r["role"])
+                out.append({"conv_id": r["conv_id"], "chunk": r["chunk"], "pos": pos, "turn": r["turn"], "role": r["role"], "segments": [{"text": t, "loss": x} for t, x in template.segments(r["role"], r["text"])], "in_order": in_order})
+                pos += 1
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return rows.mapInArrow(run, TURN)
+    return _by_chunk(begun, "text").mapInArrow(run, TURNS)
 
 
 class _Digest:
@@ -144,8 +205,12 @@ class _Digest:
 
 
 def read_back(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """One row per conversation, from the segments that format_turns gives, in its order: n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, and valid (all turns in order, the last of a role that may end)."""
+    """One row per conversation, from the segments that format_turns gives: n_turns, turns_sha256, loss_chars,
+    loss_sha256, formatted_chars, and valid (all turns in order, the last of a role that may end).
+
+    A digest of a whole conversation has to see it in order, so each one streams through one task, whose memory holds
+    numbers and running hashes only.
+    """
 
     def digests(rows: Iterable[dict]) -> Iterator[dict]:
         now: _Digest | None = None
@@ -170,4 +235,5 @@ def read_back(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    ordered = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "chunk", "pos")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -53,3 +53,14 @@ def test_table(spark):
         assert r["formatted_chars"] == sum(len(s) for a, b in turns for s, _ in T.segments(a, b))
     assert {c: r["valid"] for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: True}
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_chunks_of_a_long_conversation(spark):
+    """A conversation dealt out in chunks gets the states, places and digests of one that isn't."""
+    rows = [(5, t, ["user", "assistant", "tool", "system"][t * t * 7 % 5 % 4], f"text {t}") for t in range(200)] + [(5, None, "system", "first"), (6, 3, "user", "u"), (6, 90, "assistant", "a"), (None, 0, "user", "u"), (None, 50, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, cut = (chat.format_turns(df, chunk_turns=n) for n in (10**6, 7))
+    order = lambda d: sorted(((r["conv_id"], r["turn"], r["role"], r["in_order"]) for r in d.collect()), key=str)
+    assert order(whole) == order(cut)
+    assert sorted(map(str, chat.read_back(whole).collect())) == sorted(map(str, chat.read_back(cut).collect()))
+    assert {r["conv_id"]: r["valid"] for r in chat.read_back(cut).collect()} == {5: False, 6: True, None: True}
