@@ -203,7 +203,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             for r in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([r["id"]], pa.int64()), pa.array([word_ids(r["text"]).astype("<i4").tobytes()]), pa.array([r["lang"]], pa.string()), pa.array([r["y"]], pa.int32())], ["id", "ids", "lang", "y"])
 
-    rows = sorted(joined.mapInArrow(encode, "id long, ids binary, lang string, y int").toLocalIterator(), key=lambda r: (r["id"], r["ids"]))
+    rows = sorted(joined.mapInArrow(encode, "id long, ids binary, lang string, y int").collect(), key=lambda r: (r["id"], r["ids"]))
     ids = [np.frombuffer(r["ids"], "<i4").reshape(-1, 2) for r in rows]
     y = np.array([r["y"] for r in rows], np.float32)
     apart = np.array([crc32(f"calibrate{r['id']}".encode()) % 5 == 0 for r in rows], bool)
