@@ -184,13 +184,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     At most max_positive rows with toxic = 1 and max_negative with toxic = 0 reach the driver: those with the smallest
     hashes of their id, the same ones on every run. A fifth of them isn't trained on and calibrates a threshold for each
     language with at least min_calibration of each label. The loss is weighted back to the share of positives among all
-    labelled rows, so that scores are probabilities. Null ids, texts or labels are left out; without labelled rows the
+    labelled rows that aren't held out, so that scores are probabilities. Null ids, texts or labels are left out; without labelled rows the
     model scores every text 0.5. Label columns other than toxic aren't read; language picks a threshold, no score.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("y")).filter("label_id is not null and y in (0, 1)")
-    share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # ids first, so that only the sampled rows' texts are read into the join
     pool = known.filter(~held_out("label_id"))
+    share = {r["y"]: r["n"] for r in pool.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = pool.filter("y = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(max_positive).unionByName(pool.filter("y = 0").orderBy(F.xxhash64("label_id"), "label_id").limit(max_negative))
     lang = F.col(f"`{lang_col}`") if lang_col else F.lit(None).cast("string")
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), lang.alias("lang"))
