@@ -28,12 +28,15 @@ def words(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where the context has its checkpoints, or, in
+    local mode only, a new temporary one."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not shared:
         shared = sc.getCheckpointDir()
         if not shared:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="sparrowset-")
             sc.setCheckpointDir(shared)
             shared = sc.getCheckpointDir()
@@ -48,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it was counted at no more than `rows`; otherwise df, which the join then shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
