@@ -4,7 +4,8 @@
 2. The histogram of piece lengths (one number per length up to the capacity) goes to the driver.
 3. Patterns of two or three lengths that fill a sequence exactly are enumerated, and non-negative least squares finds
    how often to use each so that together they use up the histogram. The counts are rounded down to what there is.
-4. What is left is packed best-fit decreasing, on counts per length rather than on documents.
+4. What is left is packed on counts per length rather than on documents, best-fit decreasing and by fullest subsets of
+   the lengths; the way that needs fewer sequences is taken.
 5. The result is a list of runs: "pieces number a to b of length L go to sequences s, s + 1, ... at offset o". Pieces
    are numbered within their length, and each finds its place in the runs.
 
@@ -85,6 +86,46 @@ class Runs:
     sequences: int
 
 
+def longest_that_fit(left: np.ndarray, there: np.ndarray, capacity: int) -> list[int]:
+    """Best fit, decreasing: the longest piece, then again and again the longest that still fits."""
+    room, lengths, taken = capacity, [], {}
+    while room > 0:
+        n = next((int(n) for n in there[there <= room][::-1] if left[n] > taken.get(int(n), 0)), 0)
+        if not n:
+            break
+        lengths.append(n)
+        taken[n] = taken.get(n, 0) + 1
+        room -= n
+    return lengths
+
+
+def fullest_subset(left: np.ndarray, there: np.ndarray, capacity: int) -> list[int]:
+    """The longest piece and those other lengths, each once, that leave the least room; long ones are preferred."""
+    first = int(there[-1])
+    others = [int(n) for n in there if n <= capacity - first and (n != first or left[n] > 1)]
+    mask = (1 << (capacity - first + 1)) - 1
+    sums = [1]  # bit k of sums[j]: the first j of the others can add up to k
+    for n in others:
+        sums.append((sums[-1] | sums[-1] << n) & mask)
+    room, lengths = sums[-1].bit_length() - 1, [first]
+    for j in range(len(others), 0, -1):
+        if room >= others[j - 1] and sums[j - 1] >> (room - others[j - 1]) & 1:
+            lengths.append(others[j - 1])
+            room -= others[j - 1]
+    return lengths
+
+
+def pack_rest(left: np.ndarray, capacity: int, choose) -> list[tuple[list[int], int]]:
+    """(lengths of a sequence, how many such sequences) until nothing is left; each step uses up some length."""
+    left, out = left.copy(), []
+    while len(there := np.flatnonzero(left)):
+        lengths = choose(left, there, capacity)
+        times = min(int(left[n]) // lengths.count(n) for n in {*lengths})
+        np.subtract.at(left, lengths, times)
+        out.append((lengths, times))
+    return out
+
+
 def plan_runs(hist: np.ndarray, capacity: int = CAPACITY, max_triples: int = MAX_TRIPLES) -> Runs:
     """Runs that place hist[L] pieces of each length L from 1 to capacity, numbered from 0 within their length."""
     left = hist.astype(np.int64).copy()
@@ -114,19 +155,9 @@ def plan_runs(hist: np.ndarray, capacity: int = CAPACITY, max_triples: int = MAX
         times = min(int(counts[k]), *(int(left[n]) // lengths.count(n) for n in lengths))
         if times > 0:
             place(lengths, times)
-    # best fit, decreasing: the longest piece left, then again and again the longest that fits
-    while len(there := np.flatnonzero(left)):
-        room, lengths = capacity, []
-        taken: dict[int, int] = {}
-        while room > 0:
-            fits = there[there <= room][::-1]
-            n = next((int(n) for n in fits if left[n] > taken.get(int(n), 0)), 0)
-            if not n:
-                break
-            lengths.append(n)
-            taken[n] = taken.get(n, 0) + 1
-            room -= n
-        place(lengths, min(int(left[n]) // k for n, k in taken.items()))
+    rest = min((pack_rest(left, capacity, choose) for choose in (longest_that_fit, fullest_subset)), key=lambda x: sum(times for _, times in x))
+    for lengths, times in rest:
+        place(lengths, times)
     table = np.array(sorted(runs), np.int64).reshape(-1, 4)
     return Runs(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), table[:, 3].copy(), sequences)
 
