@@ -64,18 +64,17 @@ def measures(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str
     found by sorting the window hashes of one document, and only in documents that repeat one.
     """
     names: dict[str, str] = {}
-    for c in (*MEASURES, "base_failed", "t", "w", "h", "s", "p"):
+    for c in (*MEASURES, "base_failed", "t", "w", "l", "h", "s", "p"):
         names[c] = fresh(c if len(c) > 1 else f"quality_{c}", [*df.columns, *names.values()])
     n = {k: f"`{v}`" for k, v in names.items()}
     keep = [f"`{c}`" for c in df.columns]
     t = F.col(names["t"])
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
     d = df.withColumn(names["t"], text_of(text_col)).select(
         "*",
         words(t).alias(names["w"]),
-        F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias(names["word_chars"]),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias(names["n_symbols"]),
-        F.when(F.instr(t, "\n") > 0, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long").alias(names["n_dup_lines"]),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias(names["n_symbols"]),
+        F.when(F.instr(t, "\n") > 0, lines).alias(names["l"]),
     )
     window = ", ".join(f"get({n['w']}, i + {k})" if k else f"get({n['w']}, i)" for k in range(WINDOW))
     d = d.withColumn(names["h"], F.expr(f"if(size({n['w']}) > {WINDOW}, transform(sequence(0, size({n['w']}) - {WINDOW}), i -> xxhash64({window})), cast(array() as array<bigint>))"))
@@ -91,7 +90,9 @@ def measures(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str
             F.array(
                 F.struct(
                     F.size(names["w"]).cast("long").alias(names["n_words"]),
-                    *[F.col(n[c]).alias(names[c]) for c in ("word_chars", "n_symbols", "n_dup_lines")],
+                    F.length(F.array_join(F.col(names["w"]), "")).cast("long").alias(names["word_chars"]),
+                    F.col(names["n_symbols"]).alias(names["n_symbols"]),
+                    F.expr(f"coalesce(size({n['l']}) - size(array_distinct({n['l']})), 0)").cast("long").alias(names["n_dup_lines"]),
                     F.expr(f"coalesce({covered}, 0L)").alias(names["n_repeat_words"]),
                 )
             )
