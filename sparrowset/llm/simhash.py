@@ -304,10 +304,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = checkpointed(fingerprints(df, id_col, text_col, shingle))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    root = components(near_links(distinct.select("fp"), distance))
-    named = distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.select("fp", "root").join(classes, "root").select("fp", "component_id")
+    # nodes order by their smallest id, so a component's least node has its smallest id and nothing is gathered by component
+    nodes = distinct.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node"))
+    links = near_links(distinct.select("fp"), distance)
+    for end in ("u", "v"):
+        links = links.join(nodes.withColumnsRenamed({"fp": f"{end}_fp", "node": f"{end}_node"}), F.col(end) == F.col(f"{end}_fp"))
+    roots = components(links.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+    linked = roots.select(F.col("u.fp").alias("linked_fp"), F.col("root.least").alias("component_id"))
+    answer = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(answer, "fp").select("id", "fp", "component_id")
 
 
