@@ -14,8 +14,11 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Byte-level BPE never joins what stands before a space or line feed that follows a visible character to what stands
 #: after it, so a text may be cut there and its pieces encoded apart. No other places are used.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: White space beside which a cut may be wrong, or that split(" ") doesn't see; texts with it are cut by CUT.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-#: A worker's memo is emptied when it holds this many pieces (about 150 bytes each), so its size doesn't follow the corpus.
+#: A worker's memo has two generations of at most this many pieces each (about 150 bytes a piece): when one is full it
+#: becomes the old one, and what is still used moves over. So its size doesn't follow the corpus.
 MEMO_PIECES = 600_000
 #: Longer pieces don't stay in the memo.
 MEMO_CHARS = 64
@@ -49,6 +52,7 @@ class Encoder:
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memo_pieces = memo_pieces
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
@@ -71,21 +75,40 @@ class Encoder:
             last = k
         return out
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Keys of the pieces: a piece that begins with a space is written without it, any other after a zero byte,
+        except that a line feed at the start stands for itself."""
+        spaced = text.replace("\n", " \n")
+        if "  " in spaced or "\n " in spaced or spaced[-1] in " \n" or spaced[0] == " " or "\0" in spaced or OTHER_SPACE.search(spaced):
+            return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in "\0\n" else p if p[0] == "\n" else "\0" + p for p in CUT.split(text)]
+        pieces = spaced.split(" ")
+        pieces[0] = "\0" + pieces[0]
+        return pieces
+
+    @staticmethod
+    def piece(key: str) -> str:
+        return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [CUT.split(t) if t else [] for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.memo)
         if len(self.memo) + len(new) > self.memo_pieces:
-            self.memo.clear()
+            self.old, self.memo = self.memo, {}
             new = set().union(*cut)
-        plain = [p for p in new if p[0] in " \n" and not p[-1].isspace()]
+        again = {k for k in new if k in self.old}
+        self.memo.update((k, self.old[k]) for k in again)
+        new -= again
+        # those that may stand behind another piece in one string
+        plain = [k for k in new if k[0] != "\0" and not k[-1].isspace()]
         other = list(new.difference(plain))
-        self.memo.update(zip(plain, self._joined(plain), strict=True))
-        self.memo.update(zip(other, self._apart(other), strict=True))
+        self.memo.update(zip(plain, self._joined([*map(self.piece, plain)]), strict=True))
+        self.memo.update(zip(other, self._apart([*map(self.piece, other)]), strict=True))
         get = self.memo.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del self.memo[p]
+        out = [b"".join(map(get, keys)) for keys in cut]
+        for k in new:
+            if len(k) > MEMO_CHARS:
+                del self.memo[k]
         return out
 
 
