@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowset.llm.common import checkpointed
 from sparrowset.llm.tokenizing import default_tokenizer, encoder, groups
 
 #: Lengths are summed in blocks of this many, then the blocks: no window gathers the whole histogram in one task.
@@ -34,7 +35,7 @@ def length_table(lengths: DataFrame) -> DataFrame:
     Documents meet in one aggregation by length. The suffix sums then run by blocks of lengths; the blocks themselves
     number the longest document's length / BLOCK.
     """
-    hist = lengths.filter("length is not null").groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    hist = checkpointed(lengths.filter("length is not null").groupBy("length").agg(F.count("*").alias("n_docs"))).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     beyond, every = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     blocks = blocks.select("block", F.coalesce(F.sum("d").over(beyond), F.lit(0)).alias("d_beyond"), F.coalesce(F.sum("t").over(beyond), F.lit(0)).alias("t_beyond"), F.sum("d").over(every).alias("d_all"), F.sum("t").over(every).alias("t_all"))
