@@ -28,8 +28,8 @@ CAPACITY = 1024
 #: Patterns of three lengths beside all of two; if there are more, lengths of a coarser grid are combined.
 MAX_TRIPLES = 120_000
 STEPS = 400
-#: Pieces of one length are numbered in so many shards, for which the driver-side table has a number each.
-SHARDS = 64
+#: Pieces of one length are numbered in shards of about so many; the driver-side table has a number for each shard.
+SHARD_PIECES = 20_000
 
 
 def enumerate_patterns(capacity: int, present: np.ndarray, max_triples: int = MAX_TRIPLES) -> np.ndarray:
@@ -168,7 +168,7 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, added_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; null text is empty: the end id alone."""
     path = tokenizer or default_tokenizer()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -176,10 +176,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches):
         import pyarrow as pa
 
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, added_as_text), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in groups(batch.column(1).to_pylist()):
+            for first, texts in groups(batch.column(1)):
                 out: list[tuple] = []
                 for k, raw in enumerate(enc.ids(texts)):
                     raw += end
@@ -191,33 +191,43 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, shards: int = SHARDS) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, added_as_text: bool = False) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Repeated rows are packed each for themselves; rows with equal ids are told apart by start, length and content, and
-    are interchangeable where all of these agree. Null ids are packed like others. An empty table gives no rows.
-    Only numbers are shuffled. A common length is numbered in `shards` parts, whose bases are prefix sums of counts.
+    are interchangeable where all of these agree. Null ids are packed like others. An empty table gives no rows. Other
+    columns are not read. Only numbers are shuffled. Pieces of a length are numbered in as many shards as their count
+    asks, so no task sorts more than about shard_pieces of them; the shards' bases are prefix sums of counts. Equal
+    pieces of repeated rows are dealt out by the input's partition.
     """
-    found = pieces(df, id_col, text_col, tokenizer, capacity, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
-    found = checkpointed(found)
-    counts = found.groupBy("length", "shard").agg(F.count("*").alias("n")).collect()  # capacity x shards numbers at most
-    per = np.zeros((capacity + 1, shards), np.int64)
-    for r in counts:
-        per[r["length"], r["shard"]] = r["n"]
-    runs = plan_runs(per.sum(1), capacity)
-    bases = np.cumsum(per, 1) - per
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((runs.length * (1 << 40) + runs.first, runs.first, runs.sequence, runs.offset, bases))
+    found = checkpointed(pieces(df, id_col, text_col, tokenizer, capacity, end_id, added_as_text).withColumn("at", F.spark_partition_id()))
+    total = np.zeros(capacity + 1, np.int64)
+    for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # `capacity` numbers at most
+        total[r["length"]] = r["n"]
+    shards = np.maximum(1, -(-total // shard_pieces))
+    of = F.broadcast(spark.createDataFrame([(int(n), int(shards[n])) for n in np.flatnonzero(total)], "shard_length long, shards long"))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "at"), F.col("shards")).cast("int")
+    found = found.join(of, F.col("length") == F.col("shard_length")).withColumn("shard", shard).drop("shard_length", "shards")
+    counts = found.groupBy("length", "shard").agg(F.count("*").alias("n")).collect()  # total / shard_pieces + capacity numbers
+    first_of = np.cumsum(shards) - shards  # the first shard's number of each length
+    per = np.zeros(int(shards.sum()), np.int64)
+    for r in counts:
+        per[first_of[r["length"]] + r["shard"]] = r["n"]
+    runs = plan_runs(total, capacity)
+    bases = np.cumsum(per) - per
+    bases -= np.repeat(bases[first_of], shards)  # within the length
+    shared = spark.sparkContext.broadcast((runs.length * (1 << 40) + runs.first, runs.first, runs.sequence, runs.offset, first_of, bases))
     rank = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     numbered = found.withColumn("rank", rank.cast("long"))
 
     def run(batches):
         import pyarrow as pa
 
-        keys, first, sequence, offset, base = shared.value
+        keys, first, sequence, offset, first_of, base = shared.value
         for batch in batches:
             length, shard, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "shard", "rank"))
-            number = base[length, shard] + rank
+            number = base[first_of[length] + shard] + rank
             at = np.searchsorted(keys, length * (1 << 40) + number, "right") - 1
             own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[at] + number - first[at]), pa.array(offset[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])

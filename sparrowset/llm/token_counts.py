@@ -12,16 +12,17 @@ from sparrowset.llm.tokenizing import default_tokenizer, encoder, groups
 BLOCK = 1024
 
 
-def encoded_lengths(df: DataFrame, text_col: str = "text", tokenizer: str | None = None, end_ids: int = 1) -> DataFrame:
-    """length: the number of ids of each row's whole text, plus end_ids. Null text has none of its own."""
+def encoded_lengths(df: DataFrame, text_col: str = "text", tokenizer: str | None = None, end_ids: int = 1, added_as_text: bool = False) -> DataFrame:
+    """length: the number of ids of each row's whole text, plus end_ids. Null text has none of its own; repeated rows
+    count each; an empty table gives no rows; other columns aren't read."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(path)
+        enc = encoder(path, added_as_text)
         for batch in batches:
-            for _, texts in groups(batch.column(0).to_pylist()):
+            for _, texts in groups(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 + end_ids for x in enc.ids(texts)], pa.int64())], ["length"])
 
     return df.select(F.col(text_col).alias("text")).mapInArrow(run, "length long")

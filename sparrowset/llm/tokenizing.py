@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -15,11 +16,13 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 #: after it, so a text may be cut there and its pieces encoded apart. No other places are used.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: White space beside which a cut may be wrong, or that split(" ") doesn't see; texts with it are cut by CUT.
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
-#: A worker's memo has two generations of at most this many pieces each (about 150 bytes a piece): when one is full it
-#: becomes the old one, and what is still used moves over. So its size doesn't follow the corpus.
-MEMO_PIECES = 600_000
+#: A worker's memo: a dict of at most NEAR pieces (about 170 bytes each) and two tables of at most FAR pieces each (about
+#: 30 bytes each). A full dict is folded into the newer table; when that is full it becomes the older one, and what is
+#: still used moves over. So the memo takes some 50 MB whatever the corpus.
+NEAR_PIECES = 50_000
+FAR_PIECES = 600_000
 #: Longer pieces don't stay in the memo.
 MEMO_CHARS = 64
 
@@ -30,30 +33,85 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
-class Encoder:
-    """ids(texts): for each text the bytes of its ids (little-endian unsigned 32 bits), without special tokens.
+class _Table:
+    """piece -> its ids, in flat arrays; a piece is known by two keyed 64-bit hashes of this process."""
+
+    def __init__(self):
+        self.first, self.second, self.start, self.size = (np.empty(0, np.int64) for _ in range(4))
+        self.raw = b""
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    @staticmethod
+    def _second(pieces: list[str]) -> np.ndarray:
+        return np.fromiter((hash(p + "\0") for p in pieces), np.int64, len(pieces))
+
+    def find(self, pieces: list[str]) -> dict[str, bytes]:
+        """Those of the pieces that it holds."""
+        if not len(self.first) or not pieces:
+            return {}
+        own = np.fromiter(map(hash, pieces), np.int64, len(pieces))
+        at = np.minimum(np.searchsorted(self.first, own), len(self.first) - 1)
+        hit = np.flatnonzero(self.first[at] == own)
+        found, at = [pieces[k] for k in hit.tolist()], at[hit]
+        same = (self.second[at] == self._second(found)).tolist()
+        begin = self.start[at]
+        end = (begin + self.size[at]).tolist()
+        raw = self.raw
+        return {p: raw[a:b] for p, yes, a, b in zip(found, same, begin.tolist(), end, strict=True) if yes}
+
+    def add(self, items: dict[str, bytes]) -> None:
+        pieces = [*items]
+        size = np.fromiter(map(len, items.values()), np.int64, len(items))
+        start = len(self.raw) + np.cumsum(size) - size
+        self.raw += b"".join(items.values())
+        first = np.concatenate([self.first, np.fromiter(map(hash, pieces), np.int64, len(pieces))])
+        first, order = np.unique(first, return_index=True)  # of two pieces with one first hash the older stays
+        self.first = first
+        self.second, self.start, self.size = (np.concatenate(x)[order] for x in ((self.second, self._second(pieces)), (self.start, start), (self.size, size)))
+
 
-    Strings of special tokens in a text are ordinary text. Lone surrogates can't occur in Spark strings. Pieces that
-    aren't in the memo are joined and encoded in one call; the ids are cut apart by the lengths of their tokens.
+class Encoder:
+    """ids(texts): for each text the bytes of its ids (little-endian unsigned 32 bits), as the library gives them for the
+    whole text with add_special_tokens=False.
+
+    By the library's default, the string of an added token in a text becomes that token's id; with added_as_text it is
+    ordinary text. Pieces that aren't in the memo are joined and encoded in one call; the ids are cut apart by the
+    lengths of their tokens. Texts that hold the string of an added token are encoded whole, and so are all texts if the
+    tokenizer is of a kind for which cuts may be wrong (anything but plain byte-level BPE). Lone surrogates can't occur
+    in Spark strings.
     """
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, added_as_text: bool = False, near_pieces: int = NEAR_PIECES, far_pieces: int = FAR_PIECES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = added_as_text
         self.size = self.tokenizer.get_vocab_size()
+        added = self.tokenizer.get_added_tokens_decoder()
+        own = [t for t in added.values() if not (added_as_text and t.special)]
+        self.added = re.compile("|".join(re.escape(t.content) for t in own if t.content)) if own else None
+        self.cuttable = self._is_byte_level() and not any(t.normalized or re.search(r"\s", t.content) for t in own)
         #: Byte-level vocabularies write each byte of a token as one character.
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.n_bytes[i] = len(token)
+        self.n_bytes = np.array([0 if i in added else len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
         self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.memo_pieces = memo_pieces
+        self.new, self.old = _Table(), _Table()
+        self.near_pieces, self.far_pieces = near_pieces, far_pieces
+
+    def _is_byte_level(self) -> bool:
+        import json
+
+        t = self.tokenizer
+        kind = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer is not None else {}
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+        model = t.model
+        return bool(plain and t.normalizer is None and type(model).__name__ == "BPE" and not model.dropout and not model.continuing_subword_prefix and not model.end_of_word_suffix)
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
         if not pieces:
@@ -90,41 +148,66 @@ class Encoder:
     def piece(key: str) -> str:
         return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.cut(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.memo)
-        if len(self.memo) + len(new) > self.memo_pieces:
-            self.old, self.memo = self.memo, {}
-            new = set().union(*cut)
-        again = {k for k in new if k in self.old}
-        self.memo.update((k, self.old[k]) for k in again)
-        new -= again
+    def _fold(self) -> None:
+        """Empty the dict into the newer table."""
+        pieces = [*self.memo]
+        there = self.new.find(pieces)
+        self.new.add({k: v for k, v in self.memo.items() if k not in there})
+        self.memo = {}
+        if len(self.new) > self.far_pieces:
+            self.old, self.new = self.new, _Table()
+
+    def _learn(self, keys: set[str]) -> None:
+        """Put the keys that the dict doesn't hold into it."""
+        for table in (self.new, self.old):
+            found = table.find([*keys])
+            self.memo.update(found)
+            keys = keys.difference(found)
         # those that may stand behind another piece in one string
-        plain = [k for k in new if k[0] != "\0" and not k[-1].isspace()]
-        other = list(new.difference(plain))
+        plain = [k for k in keys if k[0] != "\0" and not k[-1].isspace()]
+        other = list(keys.difference(plain))
         self.memo.update(zip(plain, self._joined([*map(self.piece, plain)]), strict=True))
         self.memo.update(zip(other, self._apart([*map(self.piece, other)]), strict=True))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        whole = [bool(t) and (not self.cuttable or (self.added is not None and self.added.search(t) is not None)) for t in texts]
+        cut = [self.cut(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
+        wanted = set().union(*cut)
+        new = wanted.difference(self.memo)
+        if len(self.memo) + len(new) > self.near_pieces:
+            self._fold()
+            new = wanted
+        self._learn(new)
         get = self.memo.__getitem__
         out = [b"".join(map(get, keys)) for keys in cut]
         for k in new:
             if len(k) > MEMO_CHARS:
                 del self.memo[k]
+        if any(whole):
+            at = [k for k, w in enumerate(whole) if w]
+            for k, raw in zip(at, chain.from_iterable(self._apart([texts[j]]) for j in at), strict=True):
+                out[k] = raw
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_as_text: bool = False) -> Encoder:
     """One for each Python worker, which Spark reuses from task to task."""
-    return Encoder(path)
-
-
-def groups(texts: list[str | None], chars: int = 1_000_000):
-    """(first, texts) runs of about so many characters: memory follows them and the longest text, not the batch."""
-    start, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield start, texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+    return Encoder(path, added_as_text)
+
+
+def groups(column, chars: int = 1_000_000):
+    """(first, texts) runs of an Arrow column, of about so many bytes: memory follows them and the longest text, not the
+    batch."""
+    import pyarrow.compute as pc
+
+    n = len(column)
+    if not n:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        end = min(n, int(np.searchsorted(ends, before + chars)) + 1)
+        yield start, column.slice(start, end - start).to_pylist()
+        start = end

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from sparrowset.llm import packing, token_counts, token_files
 from sparrowset.llm.tokenizing import Encoder, default_tokenizer
 
-TEXTS = [None, "", " ", "\n\n", "a", "Don't  stop\n\n  now. ", "same words " * 700, "x" * 9000, "naïve café été \x1f! 日本語のテキスト", "<|endoftext|> as text", "same words " * 700, "tab\tand\r\nline end ퟿"]
+TEXTS = [None, "", " ", "\n\n", "a", "Don't  stop\n\n  now. ", "same words " * 700, "x" * 9000, "naïve café été \x1f! 日本語のテキスト", "<|endoftext|> as text", "one <|endoftext|> two<|endoftext|>", "in<|endoftext|>side \n<|endoftext|>", "same words " * 700, "tab\tand\r\nline end ퟿"]
 SCHEMA = "doc_id long, text string, length string, rank string"
 
 
@@ -20,13 +20,12 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.fixture(scope="module")
 def enc():
-    return Encoder(default_tokenizer(), memo_pieces=20)
+    return Encoder(default_tokenizer(), near_pieces=20, far_pieces=60)
 
 
 def docs(spark):
@@ -42,6 +41,33 @@ def test_memo_encodes_like_the_library(plain, enc, texts):
         assert got == [plain(t)[:-1] for t in [*texts, None]]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", " ", "\n", "word", "é", "<", "|>"]), max_size=7).map("".join), max_size=5))
+def test_added_tokens_follow_the_library(plain, enc, texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == [plain(t)[:-1] for t in texts]
+
+
+def test_added_tokens_as_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_tokenizer())
+    t.encode_special_tokens = True
+    texts = ["one <|endoftext|> two", "<|endoftext|>"]
+    got = Encoder(default_tokenizer(), added_as_text=True).ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_another_kind_of_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), Encoder(path)
+    assert not enc.cuttable
+    texts = ["Upper  and lower", "two\nlines <|endoftext|> and more", "", "it's"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_files_round_trip(spark, plain, tmp_path):
     df, rows = docs(spark)
     manifest = token_files.write_tokens(df, str(tmp_path / "t"), partitions=3)
@@ -113,7 +139,7 @@ def check_packing(rows, documents, capacity):
 def test_packing(spark, plain):
     df, rows = docs(spark)
     documents = [(d, plain(t)) for d, t, *_ in rows]
-    used = check_packing(packing.pack(df, shards=3).collect(), documents, 1024)
+    used = check_packing(packing.pack(df, shard_pieces=2).collect(), documents, 1024)
     assert used == -(-sum(len(i) for _, i in documents) // 1024)
     assert packing.pack(df.limit(0)).count() == 0
 
