@@ -7,10 +7,55 @@ from pyspark.sql import functions as F
 
 from sparrowset.llm.common import checkpointed
 
+#: A task keeps so many links before it gives them away.
+HELD_LINKS = 500_000
+
+
+class UnionFind:
+    """Sets of numbers that join() has connected; the least one stands for each."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up, top = self.up, x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            x, up[x] = up[x], top
+        return top
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def thinned(batches):
+    """Arrow batches (u, v) of those links that connect something new among the links that this task holds."""
+    import pyarrow as pa
+
+    held, tie = [], UnionFind()
+    for batch in batches:
+        held += [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if tie.join(a, b)]
+        if len(held) >= HELD_LINKS:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], ["u", "v"])
+            held, tie = [], UnionFind()
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], ["u", "v"])
+
 
 def _stars(links: DataFrame, least: DataFrame) -> DataFrame:
-    """(v, m) for each link (u, v), where m is the least node beside u."""
-    return links.join(least, "u").select(F.col("v"), F.col("m"), F.col("u"))
+    """(v, m, u) for each link (u, v), where m is the least node beside u.
+
+    The join is by struct(u), not u, so that both sides have an exchange of their own: adaptive execution can then split
+    the links of a hub over many tasks.
+    """
+    least = least.select(F.struct("u").alias("own"), "m")
+    return links.join(least, F.struct("u") == F.col("own")).select("v", "m", "u")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

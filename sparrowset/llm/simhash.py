@@ -14,6 +14,7 @@ number of groups is picked by the same cost.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -21,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowset.llm.common import checkpointed
-from sparrowset.llm.components import components
+from sparrowset.llm.common import checkpointed, small_or_shuffled
+from sparrowset.llm.components import UnionFind, components, thinned
 from sparrowset.llm.tokenizing import groups
 
 BITS = 64
@@ -63,7 +64,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pyarrow as pa
 
         for batch in batches:
-            for first, texts in groups(batch.column(1).to_pylist()):
+            for first, texts in groups(batch.column(1)):
                 fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(fps)], ["id", "fp"])
 
@@ -195,29 +196,18 @@ def forest(a: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def cross_forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """The same for the links between a and b: at most len(a) + len(b) - 1."""
-    linked = near(a, b, distance)
-    todo_a, todo_b, out = linked.any(1), linked.any(0), []
-    while todo_a.any():
-        front = np.array([int(todo_a.argmax())])
-        todo_a[front] = False
-        while len(front):
-            new = np.flatnonzero(linked[front].any(0) & todo_b)
-            out += zip(front[linked[np.ix_(front, new)].argmax(0)].tolist(), new.tolist(), strict=True)
-            todo_b[new] = False
-            back = np.flatnonzero(linked[:, new].any(1) & todo_a) if len(new) else new
-            if len(back):
-                out += zip(back.tolist(), new[linked[np.ix_(back, new)].argmax(1)].tolist(), strict=True)
-            todo_a[back] = False
-            front = back
+def component_forest(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, distance: int, tie: UnionFind) -> list[tuple[int, int]]:
+    """Positions of links between a and b that connect their components, as tie has them, as all links between them do."""
+    out = []
+    for s in range(0, len(a), 256):  # a row of the comparison at a time would do; 256 keep the matrices small
+        x, y = np.nonzero(near(a[s : s + 256], b, distance))
+        pairs = np.unique(np.stack([comp_a[s + x], comp_b[y]], 1), axis=0, return_index=True)[1]
+        out += [(s + int(x[k]), int(y[k])) for k in pairs.tolist() if tie.join(int(comp_a[s + x[k]]), int(comp_b[y[k]]))]
     return out
 
 
 #: A bucket of up to so many rows gives all its links, a larger one a forest of them.
 FEW = 8
-
-
 def bucket_links(edge: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of fps that begin at edge[:-1]."""
     sizes = np.diff(edge)
@@ -237,67 +227,102 @@ def bucket_links(edge: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
     return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
 
 
-def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = BLOCK) -> DataFrame:
-    """u, v: true links that connect exactly the fingerprints connected by links of at most `distance` bits.
+def whole_blocks(batches, keys: int) -> Iterator[list[np.ndarray]]:
+    """The long columns of the batches, sorted by the first `keys` of them, cut only where those change."""
+    rest = None
+    for batch in batches:
+        new = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        if not len(rest[0]):
+            continue
+        other = np.flatnonzero(np.any([c != c[-1] for c in rest[:keys]], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last block may go on in the next batch
+        if cut:
+            yield [c[:cut] for c in rest]
+            rest = [c[cut:] for c in rest]
+    if rest is not None and len(rest[0]):
+        yield rest
 
-    fps: fp, distinct. Entries are sorted by bucket and stream through each task in blocks of at most block_rows.
-    Within a block all pairs are verified, but only a forest is emitted, so a group of near copies gives no more links
-    than it has members. Blocks of buckets that have several go on to a second step, which verifies each two of them,
-    spread by (bucket, block).
-    """
-    n, both = bit_statistics(fps)
-    if n < 2:
-        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    place = F.row_number().over(Window.partitionBy("part", "key").orderBy("fp")) - 1
-    blocked = entries(fps, plan(n, both, distance)).withColumn("block", F.floor(place / block_rows).cast("int"))
 
-    def within(batches):
+def edges(columns: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0), [True]]))
+
+
+def links_within(blocked: DataFrame, distance: int) -> DataFrame:
+    """u, v: links within each block, thinned in each task to those that still connect something there."""
+
+    def found(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("block", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("fps", pa.binary())])
-        rest = [np.empty(0, np.int64)] * 4
+        for part, key, block, fp in whole_blocks(batches, 3):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in bucket_links(edges([part, key, block]), fp, distance)], ["u", "v"])
 
-        def done(part, key, block, fp):
-            edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True]]))
-            u, v = bucket_links(edge, fp, distance)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), x.type) for x in [*schema][:3]] + [pa.array(u), pa.array(v), pa.nulls(len(u), pa.binary())], schema=schema)
-            many = [k for k in range(len(edge) - 1) if block[edge[k]] > 0 or edge[k + 1] - edge[k] == block_rows] if len(fp) >= block_rows or block.any() else []
-            if many:
-                yield pa.RecordBatch.from_pylist([{"part": int(part[edge[k]]), "key": int(key[edge[k]]), "block": int(block[edge[k]]), "fps": fp[edge[k] : edge[k + 1]].tobytes()} for k in many], schema=schema)
+    return blocked.select("part", "key", "block", "fp").mapInArrow(lambda batches: thinned(found(batches)), "u long, v long")
 
-        for batch in batches:
-            new = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)]
-            part, key, block, fp = rest = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            if not len(fp):
-                continue
-            other = np.flatnonzero((part != part[-1]) | (key != key[-1]) | (block != block[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last block may go on in the next batch
-            if cut:
-                yield from done(*(x[:cut] for x in rest))
-                rest = [x[cut:] for x in rest]
-        if len(rest[0]):
-            yield from done(*rest)
-
-    first = checkpointed(blocked.select("part", "key", "block", "fp").mapInArrow(within, "part int, key long, block int, u long, v long, fps binary"))
-    links = first.filter("u is not null").select("u", "v")
-    blocks = first.filter("fps is not null").select("part", "key", "block", "fps")
-    last = blocks.groupBy("part", "key").agg(F.max("block").alias("last")).filter("last > 0")
-    left = blocks.join(last, ["part", "key"]).filter("block < last").select("part", "key", F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("block"), F.col("fps").alias("other"))
+
+def links_across(rows: DataFrame, distance: int) -> DataFrame:
+    """u, v: links between the blocks of a bucket that connect their components as all links between them do.
+
+    rows: part, key, block, fp, comp. Two blocks of one and the same component aren't compared."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        names = ["part", "key", "block", "low", "high", "fps", "comps"]
+        for columns in whole_blocks(batches, 3):
+            edge = edges(columns[:3])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                (part, key, block), fp, comp = (c[a] for c in columns[:3]), columns[3][a:b], columns[4][a:b]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (part, key, block, comp.min(), comp.max())] + [pa.array([x.tobytes()], pa.binary()) for x in (fp, comp)], names)
 
     def across(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
-                at = np.array(cross_forest(a, b, distance), np.int64).reshape(-1, 2)
+            for a, ca, b, cb in zip(*batch.columns, strict=True):
+                a, ca, b, cb = (np.frombuffer(x.as_py(), np.int64) for x in (a, ca, b, cb))
+                at = np.array(component_forest(a, b, ca, cb, distance, UnionFind()), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(a[at[:, 0]]), pa.array(b[at[:, 1]])], ["u", "v"])
 
-    return links.unionByName(left.join(blocks, ["part", "key", "block"]).select("other", "fps").mapInArrow(across, "u long, v long"))
+    dealt = rows.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block").select("part", "key", "block", "fp", "comp")
+    blocks = checkpointed(dealt.mapInArrow(pack, "part long, key long, block long, low long, high long, fps binary, comps binary"))
+    last = blocks.groupBy("part", "key").agg(F.max("block").alias("last"))
+    left = blocks.join(last, ["part", "key"]).filter("block < last").select("part", "key", F.col("low").alias("l"), F.col("high").alias("h"), F.col("fps").alias("a"), F.col("comps").alias("ca"), F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("block"))
+    both = left.join(blocks, ["part", "key", "block"]).filter("l < h or low < high or l <> low")
+    return both.select("a", "ca", F.col("fps").alias("b"), F.col("comps").alias("cb")).mapInArrow(across, "u long, v long")
+
+
+def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = BLOCK) -> DataFrame:
+    """u, v: pairs that connect exactly the fingerprints connected by links of at most `distance` bits: such links
+    themselves, or the stars of the components they form.
+
+    fps: fp, distinct. Entries are sorted by bucket and stream through each task in blocks of at most block_rows. Within
+    a block all pairs are verified, but only what connects something new in the task is emitted. Buckets of several
+    blocks go on to a second step, after the components that the first one's links form: a bucket that lies in one
+    component is done; of the others each two blocks are verified, spread by (bucket, block), and give at most as many
+    links as they have components.
+    """
+    n, both = bit_statistics(fps)
+    if n < 2:
+        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    place = F.row_number().over(Window.partitionBy("part", "key").orderBy("fp")) - 1
+    all_entries = entries(fps, plan(n, both, distance))
+    blocked = all_entries.withColumn("block", F.floor(place / block_rows).cast("long"))
+    links = checkpointed(links_within(blocked, distance))
+    large = checkpointed(all_entries.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("part", "key"))
+    if large.isEmpty():
+        return links
+    stars = components(links)
+    comp = stars.select(F.col("u").alias("fp"), F.col("root").alias("comp"))
+    rows = checkpointed(blocked.join(small_or_shuffled(large), ["part", "key"], "left_semi").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    open_ = rows.groupBy("part", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("part", "key")
+    rows = rows.join(small_or_shuffled(checkpointed(open_)), ["part", "key"], "left_semi")
+    return checkpointed(stars.select("u", F.col("root").alias("v")).unionByName(links_across(rows, distance)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = MAX_DISTANCE) -> DataFrame:
-    """id, fp, component_id of each row: the smallest id reachable by links of at most `distance` bits, its own included.
+    """id, fp, component_id of each row; other columns aren't read. component_id: the smallest id reachable by links of at most `distance` bits, its own included.
 
     Null text and text without words have fingerprint 0 and link like others. Null ids take their component's smallest
     id, which is null only where all ids are. Repeated rows stay. An empty table gives no rows.
