@@ -27,7 +27,9 @@ class Role:
 
 @dataclass(frozen=True)
 class Template:
-    """Every `before` and `after` begins with [ or < and holds no backslash, which makes turns and escapes unambiguous.
+    """Every `before` and `after` begins with [ or <, has a second character and holds no backslash; each `before` is
+    used once; and no control string's end is another one's beginning. That makes turns and escapes unambiguous, and
+    other templates are errors.
 
     Roles without an entry are written between other_before and other_after with the role's name escaped in between.
     transitions: state -> role -> next state; a turn without a transition is out of order and leaves the state as it is.
@@ -51,6 +53,17 @@ class Template:
     )
     accepting: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        starts = [*(r.before for r in self.roles.values()), *self.other[:2]]
+        if len({*starts}) < len(starts) or {*starts} & {*(r.after for r in self.roles.values()), self.other[2]}:
+            raise ValueError("What stands before a text must be different for each role and from what stands after")
+        for c in self.controls:
+            if len(c) < 2 or c[0] not in "[<" or "\\" in c:
+                raise ValueError(f"Not a control string: {c!r}")
+            for end in (c[k:] for k in range(1, len(c)) if c[k] in "[<"):
+                if other := [d for d in self.controls if d.startswith(end) or end.startswith(d)]:
+                    raise ValueError(f"{c!r} and {other[0]!r} can be mistaken for each other")
+
     @property
     def controls(self) -> list[str]:
         return sorted({*self.other, *(x for r in self.roles.values() for x in (r.before, r.after))}, key=lambda x: (-len(x), x))

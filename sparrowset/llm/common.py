@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: ASCII space, tab, line feed, vertical tab, form feed, carriage return.
@@ -51,6 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once, written to the shared folder as compressed columns and read from there. For wide rows: later
+    reads take the columns they need. Names that differ in case only are kept apart."""
+    out = f"{work_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(out)
+    return df.sparkSession.read.parquet(out).toDF(*df.columns)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -62,6 +71,32 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tie_numbers(df: DataFrame, id_col: str, same: Sequence[Column], name: str) -> DataFrame:
+    """df with `name`: 0, 1, 2 ... among the rows that are equal in `same` (which has the id in it).
+
+    Ids are counted first, without reading other columns; rows whose id is neither null twice nor repeated have 0. The
+    others are kept in the shared folder with the partition they were read in, and are numbered within it behind the
+    counts of the partitions before: so no task gathers all rows of a key, were they a third of the table. Which of
+    several rows that are equal in `same` but not elsewhere has which number follows the partitions.
+    """
+    taken = list(df.columns)
+    again, key, part, base = (taken.append(c) or c for c in (fresh(c, taken) for c in ("tie_id", "tie_key", "tie_part", "tie_base")))
+    ident = F.col(f"`{id_col}`")
+    ids = checkpointed(df.groupBy(ident.alias(again)).agg(F.count("*").alias("n")).filter("n > 1").select(again))
+    if ids.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    ids = small_or_shuffled(ids)
+    hit = ident.eqNullSafe(F.col(again))
+    once = df.join(ids, hit, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    many = stored(df.withColumns({key: F.xxhash64(*same), part: F.spark_partition_id()}).join(ids, hit, "left_semi"))
+    bases = many.groupBy(F.col(key).alias("k"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    bases = bases.select(F.col("k"), F.col("p"), F.coalesce(before, F.lit(0)).alias(base))
+    place = F.row_number().over(Window.partitionBy(key, part).orderBy(key)) - 1
+    numbered = many.withColumn(name, place).join(bases, (F.col(key) == F.col("k")) & (F.col(part) == F.col("p"))).withColumn(name, (F.col(name) + F.col(base)).cast("long"))
+    return once.unionByName(numbered.select(*[f"`{c}`" for c in once.columns]))
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """`name`, with underscores added until no column has it (column names compare without case)."""
     low = {x.lower() for x in taken}

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Words are summed per source, the sums give each source's target and repetition rate, and every document is emitted
-floor(rate) times plus one more time with probability rate - floor(rate), drawn from a hash of its id and a seed.
+floor(rate) times plus one more time with probability rate - floor(rate), drawn from a hash of its id, text, number among
+its equals and a seed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowset.llm.common import checkpointed, fresh, small_or_shuffled, text_of, words
+from sparrowset.llm.common import checkpointed, fresh, small_or_shuffled, text_of, tie_numbers, words
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -45,17 +46,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return level.withColumn("open_level", open_level).withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def draw(id_col: str, seed: int = SEED) -> Column:
-    """A number in [0, 1) from the first 52 bits of the MD5 of "id:seed"; a null id counts as empty."""
-    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+def draw(ident: Column, text: Column, tie: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of "id:MD5 of the text:tie:seed"; a null id counts as empty."""
+    name = F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), F.md5(text), F.lit(":"), tie.cast("string"), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, dict[str, str]]:
     """df with five more columns: size, source_size, target, rate, copies (0 to max_repeats), and the names they got.
 
-    Null text has no words; null sources are one source; rows with equal ids are drawn alike; an empty table stays
-    empty. The names get underscores where df has them already.
+    Null text has no words; null sources are one source; an empty table stays empty. Each row has a draw of its own:
+    rows with null or repeated ids are told apart by their texts, and rows with one id, text and source are numbered.
+    The names get underscores where df has them already.
     The table of sources is broadcast if it was counted as small; else it is joined by shuffle, where Spark splits the
     partitions of hot sources.
     """
@@ -63,16 +65,19 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     for c in ("size", "source_size", "target", "rate", "copies"):
         names[c] = fresh(c, [*df.columns, *names.values()])
     key = fresh("mix_source", [*df.columns, *names.values()])
-    targets = checkpointed(source_targets(df.select(F.col(source_col).alias("source"), n_words(text_col).alias("size")), weights, max_repeats))
+    tie = fresh("mix_tie", [*df.columns, *names.values(), key])
+    ident, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
+    targets = checkpointed(source_targets(df.select(source.alias("source"), n_words(text_col).alias("size")), weights, max_repeats))
     targets = targets.select(F.col("source").alias(key), *[F.col(c).alias(names[c]) for c in ("source_size", "target", "rate")])
-    out = df.withColumn(names["size"], n_words(text_col)).join(small_or_shuffled(targets), F.col(f"`{source_col}`").eqNullSafe(F.col(key))).drop(key)
+    rows = tie_numbers(df, id_col, [ident, text_of(text_col), source], tie)
+    out = rows.withColumn(names["size"], n_words(text_col)).join(small_or_shuffled(targets), source.eqNullSafe(F.col(key))).drop(key)
     whole = F.floor(names["rate"])
-    copies = whole + F.when(draw(id_col, seed) < F.col(names["rate"]) - whole, 1).otherwise(0)
-    return out.withColumn(names["copies"], copies.cast("int")), names
+    copies = whole + F.when(draw(ident, text_of(text_col), F.col(tie), seed) < F.col(names["rate"]) - whole, 1).otherwise(0)
+    return out.withColumn(names["copies"], copies.cast("int")).drop(tie), names
 
 
 def mix_rows(df: DataFrame, **params) -> DataFrame:
-    """The mix itself: each row of df as often as mix_plan says, with df's columns."""
+    """The mix itself: each row of df as often as mix_plan says, with df's columns; all cases as there."""
     planned, names = mix_plan(df, **params)
     taken = planned.filter(F.col(names["copies"]) > 0)
     copy = fresh("copy", planned.columns)

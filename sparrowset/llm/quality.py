@@ -1,7 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Base rules are fixed. Beside them, each stratum (language) has one cutoff per signal, chosen on labelled documents:
-a cutoff may be used only if an exact binomial bound shows that it rejects at most a share `alpha` of good documents.
+a cutoff may be used only if an exact binomial bound shows that it rejects at most its part of a share `alpha` of good
+documents, so that all signals together reject at most `alpha`.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowset.llm.common import SPACE_CHARS, checkpointed, fresh, text_of, words
+from sparrowset.llm.common import SPACE_CHARS, checkpointed, fresh, stored, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -43,15 +44,20 @@ SIGNALS = (
 
 @dataclass(frozen=True)
 class Risk:
-    """In each stratum and for each signal, with probability 1 - delta over all of them together, at most a share alpha
-    of good documents is rejected. delta is shared out evenly (Bonferroni) over strata x signals; within one signal the
-    cutoffs are tested from loose to strict and testing stops at the first that fails, which needs no further share."""
+    """With probability 1 - delta over all strata together, the cutoffs of a stratum reject at most a share alpha of its
+    good documents (those that pass the base rules). alpha is shared out evenly over the signals, whose rejections add
+    up at most; delta (Bonferroni) over strata x signals. Within one signal the cutoffs are tested from loose to strict
+    and testing stops at the first that fails, which needs no further share."""
 
-    alpha: float = 0.005
+    alpha: float = 0.02
     delta: float = 0.05
     strata: tuple[str, ...] = ("de", "en", "es", "fr")
     other: str = "other"
 
+    @property
+    def signal_alpha(self) -> float:
+        return self.alpha / len(SIGNALS)
+
     @property
     def level(self) -> float:
         return self.delta / ((len(self.strata) + 1) * len(SIGNALS))
@@ -111,27 +117,23 @@ def log_gamma(x: Column) -> Column:
     return series - lift
 
 
-#: Terms of a binomial tail that are added one by one; what follows is bounded by a geometric series, from above.
-TERMS = 20_000
-
-
 def binomial_below(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k): exact for k < TERMS, beyond that an upper bound; 1 where k is not under n * p.
+    """P(Bin(n, p) <= k), exact but for rounding, at any size; 1 where k is not under n * p.
 
-    Added from the largest term down: in logarithms first, then by ratios, so that no n underflows.
+    Added from the largest term (that of k) down: in logarithms first, then by ratios, so that no n underflows. Where
+    k < n * p, the term d places down is at most exp(-d * (d - 1) / (2 k)) of the largest, so that what lies beyond
+    10 * sqrt(k) + 50 places is under 1e-20 of the sum: no term that a double can tell is left out.
     """
     kd, nd = k.cast("double"), n.cast("double")
     top = log_gamma(nd + 1) - log_gamma(kd + 1) - log_gamma(nd - kd + 1) + kd * math.log(p) + (nd - kd) * math.log1p(-p)
-    steps = F.least(k, F.lit(TERMS)).cast("int")
+    steps = F.least(kd, F.ceil(10 * F.sqrt(kd)) + 50).cast("int")
     zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def add(a: Column, j: Column) -> Column:
         term = a["term"] * (kd - j + 1) / (nd - kd + j) * F.lit((1 - p) / p)
         return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    far = F.when(k > TERMS, F.lit(1.0)).otherwise(0.0)
-    ratio = kd / (nd - kd + 1) * F.lit((1 - p) / p)
-    total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), zero, add, lambda a: a["sum"] + far * a["term"] * ratio / (1 - ratio))
+    total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), zero, add, lambda a: a["sum"])
     return F.when(kd >= nd * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(top) * total))
 
 
@@ -159,7 +161,7 @@ def fit_cutoffs(labelled: DataFrame, risk: Risk = Risk()) -> DataFrame:
     hits = F.filter("mets", lambda m: m["met"] >= F.col("steps") - F.col("step"))
     total = lambda name: F.aggregate(F.transform(hits, lambda m: m[name]), F.lit(0).cast("long"), lambda a, x: a + x)
     cell = checkpointed(cell.select("stratum", "signal", "n_good", "step", F.col("cutoff").cast("long").alias("cutoff"), total("good").alias("good_hit"), total("bad").alias("bad_hit")))
-    tested = cell.withColumn("passed", (F.col("n_good") > 0) & (binomial_below(F.col("good_hit"), F.col("n_good"), risk.alpha) <= risk.level))
+    tested = cell.withColumn("passed", (F.col("n_good") > 0) & (binomial_below(F.col("good_hit"), F.col("n_good"), risk.signal_alpha) <= risk.level))
     failed_at = F.min(F.when(~F.col("passed"), F.col("step")))
     usable = F.struct((F.col("bad_hit") - F.col("good_hit")).alias("gain"), (-F.col("step")).alias("loose"), F.col("cutoff"), F.col("step"))
     each = tested.groupBy("stratum", "signal").agg(failed_at.alias("failed_at"), F.array_sort(F.collect_list(usable)).alias("all"))  # ten cells
@@ -193,11 +195,13 @@ def quality_rules(df: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col:
     """df with the measures, base_failed and kept, and the names they got.
 
     labels: doc_id, quality. A label counts once for each document row with its id; null ids and null labels match
-    nothing. Documents without words fail the base rules. Without enough labelled good documents in a stratum no cutoff
-    passes, and only the base rules reject there. An empty table stays empty.
+    nothing. Null text is empty; documents without words fail the base rules. Equal scores fare alike, and repeated rows
+    get one verdict. Without enough labelled good documents in a stratum no cutoff passes, and only the base rules
+    reject there. An empty table stays empty. Columns of any name are allowed.
 
-    Texts are measured twice, for the cutoffs and for the verdicts, and never shuffled or stored. Where only numbers are
-    wanted, measure once, keep the numbers, and call cutoffs_for and judge on them.
+    Each text is measured once: df with its numbers is written to the shared folder, where the cutoffs and the verdicts
+    read it. Texts are never shuffled.
     """
     measured, names = measures(df, text_col)
+    measured = stored(measured)
     return judge(measured, names, cutoffs_for(measured, names, labels, risk, id_col, lang_col), risk, lang_col)

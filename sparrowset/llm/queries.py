@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,8 +68,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored, score, _ = toxicity.score(docs.select("doc_id", "text", "lang"), model)
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+    scored, score, toxic = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"), F.col(toxic).alias("toxic"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,15 +94,45 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+def _op1_sql() -> str:
+    """Turns as rows; texts with their control strings escaped by a regular expression for each first character."""
+    t = chat.DEFAULT
+    rest = lambda first: "|".join(re.escape(c[1:]).replace("'", "''") for c in t.controls if c[0] == first)
+    escaped = lambda x: f"regexp_replace(regexp_replace({x}, '(<)(\\\\*(?:{rest('<')}))', '\\1\\\\\\2', 'g'), '(\\[)(\\\\*(?:{rest('[')}))', '\\1\\\\\\2', 'g')"
+    around = " ".join(f"WHEN '{name}' THEN {len(r.before + r.after)}" for name, r in t.roles.items())
+    known, loss = (", ".join(f"'{name}'" for name, r in t.roles.items() if ok(r)) for ok in (lambda r: True, lambda r: r.loss))
+    # while all turns are in order, the state is that of the role before
+    steps = ", ".join(f"('{state}', '{role}')" for state, to in t.transitions.items() for role in to)
+    accepting = ", ".join(f"'{x}'" for x in t.accepting)
+    return f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), n AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c
+), f AS (
+    SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 'start') AS before, role IN ({loss}) AS trained,
+           length({escaped("text")}) + CASE WHEN role IN ({known}) THEN CASE role {around} END ELSE {len("".join(t.other))} + length({escaped("role")}) END AS chars
+    FROM n
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (trained), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and((before, role) IN ({steps})) AND last(role ORDER BY i) IN ({accepting}) AS valid
+FROM f GROUP BY conv_id
+"""
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 OP5_SQL = """
 WITH d AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+           concat(doc_id, ':', md5(coalesce(text, '')), ':', row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1, ':20') AS name
+    FROM documents
 ), s AS (
     SELECT source, source_size, 3 * source_size AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
     FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
@@ -117,7 +148,7 @@ WITH d AS (
     SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t
 )
 SELECT doc_id, size, source_size, target,
-       size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5(concat(doc_id, ':20')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+       size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5(name), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
@@ -151,7 +182,7 @@ WITH docs AS (
     SELECT stratum, signal, step, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND score > cutoff) AS k, count(*) FILTER (quality = 0 AND score > cutoff) AS bad
     FROM scored JOIN labels USING (doc_id) JOIN cut USING (signal) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL
 ), tested AS (
-    SELECT *, n > 0 AND k < n * {risk.alpha}::DOUBLE AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk.alpha}::DOUBLE) + (n - j) * ln(1 - {risk.alpha}::DOUBLE)) FOR j IN range(0, k + 1)]) <= {risk.level!r}::DOUBLE AS passed FROM cells
+    SELECT *, n > 0 AND k < n * {risk.signal_alpha!r}::DOUBLE AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk.signal_alpha!r}::DOUBLE) + (n - j) * ln(1 - {risk.signal_alpha!r}::DOUBLE)) FOR j IN range(0, k + 1)]) <= {risk.level!r}::DOUBLE AS passed FROM cells
 ), chosen AS (
     SELECT stratum, signal, first(cutoff ORDER BY bad - k DESC, step) AS cutoff
     FROM (SELECT *, min(CASE WHEN NOT passed THEN step END) OVER (PARTITION BY stratum, signal) AS failed_at FROM tested)
@@ -187,6 +218,7 @@ FROM h LEFT JOIN best USING (r)
 
 
 ORACLE = {
+    "op1_chat_formatting": _op1_sql(),
     "op4_exact_dedup": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op6_quality_rules": _op6_sql(),

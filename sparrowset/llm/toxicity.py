@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowset.llm.common import text_of
+from sparrowset.llm.common import checkpointed, fresh, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -27,8 +27,13 @@ FILTERS = 16
 #: Labelled rows that are used at most, chosen by a hash of the id: positive ones and others.
 MAX_POSITIVE = 1500
 MAX_NEGATIVE = 3000
+#: Of their texts, in the order of that hash, as many as have so many characters together; a text that doesn't fit any
+#: more is left out whole.
+MAX_CHARS = 100_000_000
 EPOCHS = 6
 BATCH = 32
+#: The share of a text's words that a training step leaves out, drawn anew each time, so that no score hangs on one word.
+DROP = 0.3
 #: Words that go through the filters at once when a text is scored.
 CHUNK = 1 << 14
 PAD = 0
@@ -110,8 +115,45 @@ class _Adam:
         value[rows] -= self.rate * (self.m[rows] / (1 - 0.9**self.t)) / (np.sqrt(self.v[rows] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def train(texts_ids: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Weighted logistic loss by Adam. Only the positions that win the pooling get gradients."""
+def loss_and_gradients(model: Model, docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tuple[float, dict]:
+    """The weighted logistic loss of padded documents and its gradients: "f0", "f1" ... (filters), "b", "o", "ob", and
+    "e0", "e1" as (rows, their gradients). Only the positions that win the pooling get gradients."""
+    kind = model.out.dtype
+    rows0, rows1, grads = [], [], []
+    out: dict = {f"f{k}": np.zeros_like(f) for k, f in enumerate(model.filters)}
+    out |= {"b": np.zeros_like(model.bias), "o": np.zeros_like(model.out), "ob": np.zeros(1, kind)}
+    norm, loss = weights.sum(), 0.0
+    for ids, label, weight in zip(docs, labels, weights, strict=True):
+        x = model.vectors(ids)
+        resp = model.responses(x)
+        where = [r.argmax(0) for r in resp]
+        top = np.concatenate([r[i, np.arange(FILTERS)] for r, i in zip(resp, where, strict=True)]) + model.bias
+        act = np.maximum(top, 0)
+        z = np.clip(act @ model.out + model.out_bias, -30, 30)
+        loss += (np.log1p(np.exp(z)) - label * z) * weight / norm
+        g = ((1 / (1 + np.exp(-z)) - label) * weight / norm).astype(kind)
+        out["o"] += g * act
+        out["ob"] += g
+        g_top = g * model.out * (top > 0)
+        out["b"] += g_top
+        for k, (w, i) in enumerate(zip(WIDTHS, where, strict=True)):
+            own = g_top[k * FILTERS : (k + 1) * FILTERS]
+            for j in range(w):
+                out[f"f{k}"][j] += x[i + j].T * own
+                rows0.append(ids[i + j, 0])
+                rows1.append(ids[i + j, 1])
+                grads.append((model.filters[k][j] * own).T)
+    g_x = np.concatenate(grads)
+    for name, rows in (("e0", rows0), ("e1", rows1)):
+        used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.zeros((len(used), DIM), kind)
+        np.add.at(total, inverse, g_x)
+        total[used == PAD] = 0  # padding stays zero
+        out[name] = (used, total)
+    return float(loss), out
+
+
+def new_model(seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     model = Model(
         (rng.standard_normal((2, BUCKETS, DIM)) * 0.1).astype(np.float32),
@@ -121,50 +163,27 @@ def train(texts_ids: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
         0.0,
     )
     model.embed[:, PAD] = 0
-    opt = {"e0": _Adam((BUCKETS, DIM), 0.02), "e1": _Adam((BUCKETS, DIM), 0.02), "b": _Adam(model.bias.shape, 0.01), "o": _Adam(model.out.shape, 0.01), "ob": _Adam((1,), 0.01)} | {f"f{k}": _Adam(f.shape, 0.01) for k, f in enumerate(model.filters)}
-    docs = [padded(i) for i in texts_ids]
-    out_bias = np.zeros(1, np.float32)
-    for _ in range(epochs if docs else 0):
-        order = rng.permutation(len(docs))
+    return model
+
+
+def train(texts_ids: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Weighted logistic loss by Adam, on texts without a random share DROP of their words."""
+    model, rng = new_model(seed), np.random.default_rng(seed + 1)
+    own = {"b": model.bias, "o": model.out, "ob": np.zeros(1, np.float32)} | {f"f{k}": f for k, f in enumerate(model.filters)}
+    opt = {k: _Adam(v.shape, 0.01) for k, v in own.items()} | {k: _Adam((BUCKETS, DIM), 0.02) for k in ("e0", "e1")}
+    for _ in range(epochs if texts_ids else 0):
+        order = rng.permutation(len(texts_ids))
         for s in range(0, len(order), BATCH):
             at = order[s : s + BATCH]
-            rows0, rows1, grads = [], [], []
-            g_filters = [np.zeros_like(f) for f in model.filters]
-            g_bias, g_out, g_out_bias = np.zeros_like(model.bias), np.zeros_like(model.out), 0.0
-            norm = weights[at].sum()
-            for d in at:
-                ids = docs[d]
-                x = model.vectors(ids)
-                resp = model.responses(x)
-                where = [r.argmax(0) for r in resp]
-                top = np.concatenate([r[i, np.arange(FILTERS)] for r, i in zip(resp, where, strict=True)]) + model.bias
-                act = np.maximum(top, 0)
-                p = 1 / (1 + np.exp(-np.clip(act @ model.out + out_bias[0], -30, 30)))
-                g = np.float32((p - labels[d]) * weights[d] / norm)
-                g_out += g * act
-                g_out_bias += g
-                g_top = (g * model.out * (top > 0)).astype(np.float32)
-                g_bias += g_top
-                for k, (w, i) in enumerate(zip(WIDTHS, where, strict=True)):
-                    own = g_top[k * FILTERS : (k + 1) * FILTERS]
-                    for j in range(w):
-                        g_filters[k][j] += x[i + j].T * own
-                        rows0.append(ids[i + j, 0])
-                        rows1.append(ids[i + j, 1])
-                        grads.append((model.filters[k][j] * own).T)
-            g_x = np.concatenate(grads)
-            for name, rows, table in (("e0", rows0, model.embed[0]), ("e1", rows1, model.embed[1])):
-                used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-                total = np.zeros((len(used), DIM), np.float32)
-                np.add.at(total, inverse, g_x)
-                opt[name].step(table, total, used)
+            docs = [padded(texts_ids[d][rng.random(len(texts_ids[d])) >= DROP]) for d in at]
+            _, grads = loss_and_gradients(model, docs, labels[at], weights[at])
+            for k, table in enumerate(model.embed):
+                rows, grad = grads[f"e{k}"]
+                opt[f"e{k}"].step(table, grad, rows)
                 table[PAD] = 0
-            for k, f in enumerate(model.filters):
-                opt[f"f{k}"].step(f, g_filters[k])
-            opt["b"].step(model.bias, g_bias)
-            opt["o"].step(model.out, g_out)
-            opt["ob"].step(out_bias, np.array([g_out_bias], np.float32))
-    model.out_bias = float(out_bias[0])
+            for name, value in own.items():
+                opt[name].step(value, grads[name])
+            model.out_bias = float(own["ob"][0])
     return model
 
 
@@ -178,22 +197,38 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((scores[order[k]] + low) / 2)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, min_calibration: int = 20) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_chars: int = MAX_CHARS, min_calibration: int = 20) -> Model:
     """A model from the labelled rows that are not held out.
 
-    At most max_positive rows with toxic = 1 and max_negative with toxic = 0 reach the driver: those with the smallest
-    hashes of their id, the same ones on every run. A fifth of them isn't trained on and calibrates a threshold for each
-    language with at least min_calibration of each label. The loss is weighted back to the share of positives among all
-    labelled rows that aren't held out, so that scores are probabilities. Null ids, texts or labels are left out; without labelled rows the
-    model scores every text 0.5. Label columns other than toxic aren't read; language picks a threshold, no score.
+    At most max_positive ids with toxic = 1 and max_negative with toxic = 0 are used: those with the smallest hashes of
+    their id, the same ones on every run, with one row each (of repeated rows that with the smallest text hash) and
+    max_chars characters in all. Only their word numbers reach the driver. A fifth of them isn't trained on and
+    calibrates a threshold for each language with at least min_calibration of each label. The loss is weighted back to
+    the share of positives among all labelled rows that aren't held out, so that scores are probabilities.
+
+    Null ids and null labels are left out, null texts are empty ones; an id with both labels counts as toxic. Without
+    labelled rows the model scores every text 0.5. Label columns other than toxic aren't read; language picks a
+    threshold, no score.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("y")).filter("label_id is not null and y in (0, 1)")
-    pool = known.filter(~held_out("label_id"))
+    pool = known.filter(~held_out("label_id")).groupBy("label_id").agg(F.max("y").alias("y"))
     share = {r["y"]: r["n"] for r in pool.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = pool.filter("y = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(max_positive).unionByName(pool.filter("y = 0").orderBy(F.xxhash64("label_id"), "label_id").limit(max_negative))
+    mixed = F.xxhash64("label_id")
+    chosen = pool.filter("y = 1").orderBy(mixed, "label_id").limit(max_positive).unionByName(pool.filter("y = 0").orderBy(mixed, "label_id").limit(max_negative))
     lang = F.col(f"`{lang_col}`") if lang_col else F.lit(None).cast("string")
-    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), lang.alias("lang"))
-    joined = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "lang", "y")
+    text = text_of(F.col(f"`{text_col}`"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), lang.alias("lang"))
+    chosen = checkpointed(chosen)  # a few thousand rows, by the limits above
+    one = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).groupBy("id", "y").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("r"))
+    joined = checkpointed(one.select("id", F.col("r.text").alias("text"), F.col("r.lang").alias("lang"), "y"))
+    sizes = sorted(joined.select(F.xxhash64("id").alias("h"), "id", F.length("text").alias("n")).collect())
+    room, fits = max_chars, []
+    for _, i, n in sizes:
+        if n <= room:
+            room -= n
+            fits.append(i)
+    if len(fits) < len(sizes):
+        joined = joined.filter(F.col("id").isin(fits))
 
     def encode(batches):
         import pyarrow as pa
@@ -227,11 +262,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 def score(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> tuple[DataFrame, str, str]:
     """df with a score of each whole text and toxic (score at or over the language's threshold), and both names.
 
-    Null text is empty and gets the score of a text without words. Rows are scored by themselves; nothing is shuffled.
+    Null text is empty and gets the score of a text without words. Rows are scored by themselves, so repeated rows get
+    one score, an empty table stays empty, and nothing is shuffled. Whole texts are read. Columns of any name are allowed.
     The model (about 4 MB, whatever the corpus) is broadcast.
     """
-    from sparrowset.llm.common import fresh
-
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

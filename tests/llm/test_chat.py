@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,3 +65,9 @@ def test_chunks_of_a_long_conversation(spark):
     assert order(whole) == order(cut)
     assert sorted(map(str, chat.read_back(whole).collect())) == sorted(map(str, chat.read_back(cut).collect()))
     assert {r["conv_id"]: r["valid"] for r in chat.read_back(cut).collect()} == {5: False, 6: True, None: True}
+
+
+@pytest.mark.parametrize("roles", [{"a": ("x", "</a>")}, {"a": ("<a>", "<b"), "b": ("<a>", "</b>")}, {"a": ("<<x", "</a>"), "b": ("<x>", "</b>")}, {"a": ("<a>", "<a>")}, {"a": ("<a\\>", "</a>")}, {"a": ("<", "</a>")}])
+def test_ambiguous_templates_are_errors(roles):
+    with pytest.raises(ValueError):
+        chat.Template(roles={k: chat.Role(*v) for k, v in roles.items()})

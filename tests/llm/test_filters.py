@@ -50,6 +50,92 @@ def test_terms_against_patterns():
         assert soft == {t for t in urls.SOFT if alone(t)}
 
 
+def test_vocabularies(spark, tmp_path):
+    """None, of upper case, of 100,000 terms from a table; and an input column with a helper's name."""
+    df = spark.createDataFrame([(1, "http://a.b/casino-Foo/t99999", 5), (2, "http://a.b/t7/t8", 6), (3, "http://a.b/xt7", 7)], "page_id long, url string, url_hits long")
+    judged, n = urls.judge_urls(df, strict=(), soft=())
+    assert [r[n["verdict"]] for r in judged.collect()] == ["allow"] * 3 and judged.columns[:3] == df.columns
+    assert [r["url_hits"] for r in judged.collect()] == [5, 6, 7]
+    judged, n = urls.judge_urls(df, strict=("FOO", ""), soft=("foo",))
+    assert [(r[n["strict_hits"]], r[n["soft_hits"]]) for r in judged.collect()] == [(1, 0), (0, 0), (0, 0)]
+    rows = [(f"t{k}", k == 99_999) for k in range(100_000)] + [(None, True), ("", False), ("casino", None)]
+    spark.createDataFrame(rows, "term string, strict boolean").write.parquet(str(tmp_path / "terms"))
+    strict, soft = urls.read_terms(spark, str(tmp_path / "terms"))
+    judged, n = urls.judge_urls(df, strict=strict, soft=soft)
+    assert [(r[n["strict_hits"]], r[n["soft_hits"]], r[n["verdict"]]) for r in judged.collect()] == [(1, 0, "block"), (0, 2, "block"), (0, 0, "allow")]
+
+
+def small_model(kind=np.float64):
+    model = toxicity.new_model(3)
+    model.embed, model.filters, model.bias, model.out, model.out_bias = model.embed.astype(kind), [f.astype(kind) for f in model.filters], model.bias.astype(kind), model.out.astype(kind), 0.1
+    return model
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    model = small_model()
+    model.bias += rng.standard_normal(model.bias.shape) * 0.1  # away from the kink that padding alone would sit on
+    docs = [toxicity.padded(rng.integers(1, 50, (n, 2))) for n in (0, 1, 4, 9)]
+    y, w = np.array([0, 1, 1, 0.0]), np.array([1, 2, 0.5, 1.0])
+    loss = lambda: toxicity.loss_and_gradients(model, docs, y, w)[0]
+    _, grads = toxicity.loss_and_gradients(model, docs, y, w)
+
+    def slope(table, at, eps=1e-6):
+        old = table[at]
+        table[at] = old + eps
+        up = loss()
+        table[at] = old - eps
+        down = loss()
+        table[at] = old
+        return (up - down) / (2 * eps)
+
+    for name, table in [("b", model.bias), ("o", model.out), *((f"f{k}", f) for k, f in enumerate(model.filters))]:
+        for _ in range(25):
+            at = tuple(int(rng.integers(0, n)) for n in table.shape)
+            assert abs(grads[name][at] - slope(table, at)) < 1e-6
+    for k in (0, 1):
+        rows, grad = grads[f"e{k}"]
+        for _ in range(25):
+            r, d = int(rng.integers(0, len(rows))), int(rng.integers(0, toxicity.DIM))
+            if rows[r] != toxicity.PAD:
+                assert abs(grad[r, d] - slope(model.embed[k], (rows[r], d))) < 1e-6
+    before = model.out_bias
+    model.out_bias = before + 1e-6
+    up = loss()
+    model.out_bias = before - 1e-6
+    assert abs((up - loss()) / 2e-6 - grads["ob"][0]) < 1e-6
+
+
+def test_score_against_a_slow_forward_pass():
+    model = small_model()
+    text = "Some WORDS, and w0rds é " * 3
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    number = lambda x: 1 + crc32(x.encode()) % (toxicity.BUCKETS - 1)
+    vectors = [model.embed[0][number(x)] + model.embed[1][number("^" + x[: toxicity.PREFIX])] for x in found]
+    zero = np.zeros(toxicity.DIM)
+    vectors = [zero] * 2 + vectors + [zero] * 2
+    z = model.out_bias
+    for k, (width, f) in enumerate(zip(toxicity.WIDTHS, model.filters, strict=True)):
+        for c in range(toxicity.FILTERS):
+            most = max(sum(float(vectors[i + j] @ f[j][:, c]) for j in range(width)) for i in range(len(vectors) - width + 1))
+            z += max(0.0, most + model.bias[k * toxicity.FILTERS + c]) * model.out[k * toxicity.FILTERS + c]
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_fit_takes_awkward_rows(spark):
+    """Null labels and ids, an id with both labels, repeated rows, a bound on characters, clashing columns."""
+    rows = [(k, ("bad words here " if k % 2 else "fine words there ") * 5, "en", "x") for k in range(60)] * 2 + [(61, None, None, None), (None, "bad", "en", "x"), (62, "bad " * 5000, "en", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)] + [(5, 0), (None, 1), (7, None), (61, 0), (62, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, max_chars=10_000)
+    out, score, toxic = toxicity.score(df, model)
+    assert score == "score_" and toxic == "toxic" and out.columns[:4] == df.columns and out.count() == len(rows)
+    by_id = {}
+    for r in out.filter("doc_id < 60").collect():
+        assert by_id.setdefault(r["doc_id"], r[score]) == r[score]
+    assert np.mean([by_id[k] for k in by_id if k % 2]) > np.mean([by_id[k] for k in by_id if k % 2 == 0])
+
+
 def test_chunks_of_a_long_text_pool_like_the_whole():
     rng = np.random.default_rng(0)
     model = toxicity.train([rng.integers(1, 99, (5, 2)) for _ in range(4)], np.array([0, 1, 0, 1], np.float32), np.ones(4, np.float32), 1)

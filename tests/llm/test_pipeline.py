@@ -9,8 +9,8 @@ import pytest
 
 import corpus_pipeline
 from sparrowset.llm import queries
+from tests.llm.test_jaccard import slow_kept
 from tests.llm.test_native import slow_targets, words
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tests.llm.test_tokens import check_packing, least_sequences
 
 SF = "/root/testdata/sf0.001"
@@ -44,8 +44,7 @@ def test_pipeline(spark, duck):
     for d, (t, _) in docs.items():
         last[t] = max(d, last.get(t, d))
     ids = sorted(last.values())
-    roots = slow_components(ids, [slow_fingerprint(docs[d][0]) for d in ids], 4)
-    ids = [d for d, r in zip(ids, roots, strict=True) if d == r]
+    ids = sorted(min(g)[0] for g in slow_kept([(d, docs[d][0]) for d in ids]))
     sizes = Counter()
     for d in ids:
         sizes[docs[d][1]] += len(words(docs[d][0]))
@@ -54,14 +53,31 @@ def test_pipeline(spark, duck):
     for d in ids:
         rate = target[docs[d][1]] / sizes[docs[d][1]]
         whole = int(rate + 1e-12)
-        copies[d] = whole + (int(hashlib.md5(f"{d}:20".encode()).hexdigest()[:13], 16) / 2**52 < rate - whole)
+        copies[d] = whole + (int(hashlib.md5(f"{d}:{hashlib.md5((docs[d][0] or '').encode()).hexdigest()}:0:20".encode()).hexdigest()[:13], 16) / 2**52 < rate - whole)
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     packed = [(d, [*t.encode(docs[d][0], add_special_tokens=False).ids, 2]) for d in ids for _ in range(copies[d])]
     used = check_packing(corpus_pipeline.run(spark, SF).collect(), packed, 1024)
     assert used <= 1.01 * least_sequences([len(i) for _, i in packed], 1024) + 2
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null texts, repeated rows, clashing and additional columns."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(30)), "en", "ab"[k % 2], 9, "x", 1) for k in range(12)]
+    rows += [(3, rows[5][1] + " more", "en", None, 9, None, 2), (3, rows[3][1], "en", "b", 9, None, 3), (None, rows[7][1], None, None, None, None, None), (None, None, None, None, None, None, None), (None, None, None, None, None, None, None), (None, " ".join(f"own{j}" for j in range(20)), "fr", "c", 9, "y", 4), (3, " ".join(f"clean{j}" for j in range(20)), "fr", "c", 9, "y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, s long")
+    spark.createDataFrame([(3, 1), (None, 0), (5, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert out.count() == docs.count()
+            break
+        assert out.columns == docs.columns, name
+        assert {r["text"] for r in out.collect()} <= {r[1] for r in rows}
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        texts = {r["text"] for r in docs.collect()}
+        assert rows[-1][1] in texts and rows[-2][1] in texts or name == "mixing"
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
