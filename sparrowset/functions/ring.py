@@ -68,10 +68,14 @@ def wrap_mul(x, y) -> Column:
 
 
 def wrap_sum(x) -> Column:
-    """Aggregate: the sum modulo 2^64, 0 for no rows; the halves are summed apart, exact for up to 2^31 rows a group in ANSI mode."""
-    a, b = _halves(_col(x))
-    high, low = F.coalesce(F.sum(a), F.lit(0)), F.coalesce(F.sum(b), F.lit(0))
-    return _join((high + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(0xFFFFFFFF)), low.bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Aggregate: the sum modulo 2^64, 0 for no rows. The four 16-bit quarters are summed apart, so that no sum of a long
+    overflows in ANSI mode below 2^47 rows a group; their sums are shifted into place and added modulo 2^64."""
+    c, out = _col(x), None
+    for k in range(4):
+        quarter = F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(0xFFFF)) if k else c.bitwiseAND(F.lit(0xFFFF))
+        part = F.shiftleft(F.coalesce(F.sum(quarter), F.lit(0).cast("long")), 16 * k)
+        out = part if out is None else wrap_add(out, part)
+    return out
 
 
 def ring(x, width: int) -> Column:
@@ -122,8 +126,8 @@ def ring_equal(x, y, width: int = 64) -> Column:
 
 
 def mux(c, x, y) -> Column:
-    """x where c is 1 (or true), else y."""
-    return F.when(c if isinstance(c, Column) else F.col(c) == 1, _col(x)).otherwise(_col(y))
+    """x where c (a column name, or a Column of bits or booleans) is 1 or true, else y; y where it is null."""
+    return F.when(_col(c) == 1, _col(x)).otherwise(_col(y))
 
 
 def swap(c, x, y) -> tuple[Column, Column]:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowset.functions.ring import reconstruct_bool
+
 COMPARE = {
     "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b,
@@ -53,6 +55,12 @@ def filter_and(df: DataFrame, columns: Sequence[str], ops: Sequence[str], values
     return df.withColumn(VALID, before & F.coalesce(test, F.lit(False)))
 
 
+def filter_shared(df: DataFrame, columns: Sequence[str], ops: Sequence[str], shares: Sequence[tuple[int, int]]) -> DataFrame:
+    """filter_and with constants that come as two XOR shares each. They are folded into one literal before the scan, so
+    the comparison is pushed down like any other."""
+    return filter_and(df, columns, ops, [reconstruct_bool(F.lit(a), F.lit(b)) for a, b in shares])
+
+
 def between(df: DataFrame, column: str, low, high, closed: bool = False) -> DataFrame:
     """low <= column < high, or <= high if closed."""
     return df.filter(compare(column, ">=", low) & compare(column, "<=" if closed else "<", high))

@@ -70,7 +70,34 @@ def next_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], column
     return df.withColumn(name, F.lead(column).over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def gaps_within(df: DataFrame, by: str, time: str, tie: str, low: Column, high: Column) -> DataFrame:
-    """Keys with two neighbouring times t, t' such that t + low <= t' <= t + high."""
-    seen = next_in_group(df.select(by, time, tie), [by], [time, tie], time, "_next")
-    return seen.filter((F.col("_next") >= F.col(time) + low) & (F.col("_next") <= F.col(time) + high)).select(by).distinct()
+def first_and_last(df: DataFrame, by: Sequence[str], column: str, first_when: Column, last_when: Column, first: str, last: str) -> DataFrame:
+    """Per group the least value of the rows that meet first_when and the largest of those that meet last_when, in one
+    scan and one aggregation; null where no row does."""
+    return df.filter(first_when | last_when).groupBy(*by).agg(F.min(F.when(first_when, F.col(column))).alias(first), F.max(F.when(last_when, F.col(column))).alias(last))
+
+
+def gaps_within(df: DataFrame, by: str, time: str, low_days: int, high_days: int) -> DataFrame:
+    """Keys with two neighbouring times t, t' such that t + low_days <= t' <= t + high_days; 0 < low_days.
+
+    Neighbours in one span of low_days are nearer than that, so only the first and the last time of each span count:
+    rows are aggregated by (key, span), with partial results, before the spans of a key are set side by side. A hot key
+    gives no more rows than there are spans.
+    """
+    if low_days < 1:
+        raise ValueError("low_days must be at least 1")
+    span = F.floor(F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date")) / low_days)
+    ends = df.filter(F.col(time).isNotNull()).groupBy(F.col(by), span.alias("_span")).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    after = F.lead("_first").over(Window.partitionBy(by).orderBy("_span"))
+    days = lambda n: F.make_dt_interval(F.lit(n))
+    seen = ends.withColumn("_next", after)
+    return seen.filter((F.col("_next") >= F.col("_last") + days(low_days)) & (F.col("_next") <= F.col("_last") + days(high_days))).select(by).distinct()
+
+
+def histogram_with_zeros(members: DataFrame, key: str, df: DataFrame, by: str, count_name: str = "c_count", dist_name: str = "custdist") -> DataFrame:
+    """How many keys there are of each count, keys of `members` without a row in df counting 0 (a row even if there is
+    no such key). df is read once; members meet its counts, not its rows. members: one row for each key."""
+    counts = count(df, [by], "_n").select(F.col(by).alias("_by"), "_n")
+    both = members.select(F.col(key).alias("_key")).join(counts, F.col("_key") == F.col("_by"), "full")
+    sizes = both.groupBy(F.coalesce("_n", F.lit(0).cast("long")).alias(count_name)).agg(F.count("*").alias("_k"))
+    none = df.sparkSession.range(1).select(F.lit(0).cast("long").alias(count_name), F.lit(0).cast("long").alias("_k"))
+    return sizes.unionByName(none).groupBy(count_name).agg(F.sum("_k").alias(dist_name))

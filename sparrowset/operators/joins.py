@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: As many as the bucket hash has by default; callers with more data ask for more.
 BUCKETS = 32
 
 
@@ -17,8 +18,9 @@ def bucket_of(key: str | Column, buckets: int = BUCKETS) -> Column:
 
 
 def to_buckets(df: DataFrame, key: str, buckets: int = BUCKETS, tag: str = "tag") -> DataFrame:
-    """df dealt out by the bucket of its key, which becomes a column."""
-    return df.withColumn(tag, bucket_of(key, buckets)).repartition(buckets, tag)
+    """df dealt out by the bucket of its key, which becomes a column: rows of a bucket are in one of the session's shuffle
+    partitions. To count or sum by bucket, use bucket_of and group, which combines before it shuffles."""
+    return df.withColumn(tag, bucket_of(key, buckets)).repartition(tag)
 
 
 def join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, strategy: str = "auto") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparrowset.functions import ring
 from sparrowset.operators import filters, groups, joins, order
-from sparrowset.sources.tables import parquet, scan
+from sparrowset.sources.tables import debug_table, parquet, random_table, rows, scan, schema, text_table
 from sparrowset.sql import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,79 @@ def compaction(spark, d):
     return groups.count(filters.compact(marked), ["l_returnflag"])
 
 
+@query
+def filter_shared(spark, d):
+    """Two constants, 100 and 200, each as XOR shares."""
+    return filters.filter_shared(scan(spark, d, "orders", ["o_orderkey", "o_custkey"]), ["o_custkey", "o_custkey"], [">=", "<"], [(100 ^ 987654321, 987654321), (200 ^ -5, -5)])
+
+
+@query
+def rename(spark, d):
+    return filters.rename(scan(spark, d, "nation", ["n_nationkey", "n_name"]), {"n_nationkey": "id", "n_name": "label"})
+
+
+# --- statements, rows and text ---
+
+
+@query
+def insert_rows(spark, d):
+    engine = Engine(spark, strict=True)
+    engine.execute("CREATE DATABASE shop; USE shop; CREATE TABLE stock (item INT(64) PRIMARY KEY, pieces INT(16), sold BOOLEAN)")
+    engine.execute("INSERT INTO stock VALUES (-41, 65535, 1); INSERT INTO stock (sold, item) VALUES (0, 42); INSERT INTO stock (item) VALUES (- 9223372036854775808)")
+    return engine.execute("SELECT * FROM stock")
+
+
+@query
+def session_tables(spark, d):
+    """Two databases with a table of one name; the one in use counts."""
+    engine = Engine(spark, strict=True)
+    for name, value in (("spring", 4), ("autumn", 10)):
+        engine.execute(f"CREATE DATABASE {name}; USE {name}; CREATE TABLE months (m INT(8) PRIMARY KEY, late BOOLEAN); INSERT INTO months VALUES ({value}, 0); INSERT INTO months VALUES ({value + 1}, 1)")
+    return engine.execute("USE spring; SELECT m, late FROM months WHERE late = 1;")
+
+
+@query
+def session_drop(spark, d):
+    """A dropped table's name is free for another one; dropping the other database leaves this one in use."""
+    engine = Engine(spark, strict=True)
+    engine.execute("CREATE DATABASE old; CREATE DATABASE new; USE new; CREATE TABLE t (a INT(4)); INSERT INTO t VALUES (7); DROP TABLE t; DROP DATABASE old")
+    return engine.execute("CREATE TABLE t (b INT(32), c INT(2)); INSERT INTO t VALUES (4294967295, 3); SELECT b, c FROM t")
+
+
+@query
+def where_sql(spark, d):
+    engine = engine_with(spark, d, "orders", strict=True)
+    return engine.execute("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 100 AND (o_custkey < 200) AND o_orderkey <> 7 AND o_orderkey != 9 AND orders.o_orderkey <= 9000 AND o_custkey > 0")
+
+
+@query
+def ingest_rows(spark, d):
+    return rows(spark, schema([("k", 64), ("small", 4), ("flag", 1)], "k"), [(k * k - 50, k % 16, k % 2) for k in range(20)])
+
+
+@query
+def random_source(spark, d):
+    """How many numbers there are, whether all lie in [0, 2^63), and whether the same seed gives the same ones."""
+    first, again = (random_table(spark, 1000, ["a", "b"], 3) for _ in range(2))
+    return first.agg(F.count("*").alias("n"), F.coalesce(F.min(F.least("a", "b")) >= 0, F.lit(False)).alias("in_range"), F.lit(again.exceptAll(first).isEmpty()).alias("same"))
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([*enumerate(text.splitlines())], "line long, shown string")
+
+
+@query
+def result_table(spark, d):
+    marked = filters.filter_and(scan(spark, d, "region", ["r_regionkey", "r_name"]), ["r_regionkey"], ["<"], [2], keep_invalid=True)
+    return _lines(spark, text_table(order.sort(marked, ["r_regionkey"])))
+
+
+@query
+def debug_rows(spark, d):
+    marked = filters.filter_and(scan(spark, d, "region", ["r_regionkey", "r_name"]), ["r_regionkey"], ["<"], [2], keep_invalid=True)
+    return _lines(spark, debug_table(order.sort(marked, ["r_regionkey"])))
+
+
 # --- joins ---
 
 
@@ -97,6 +170,12 @@ def join_hash(spark, d):
     return found.select("o_orderkey", "c_custkey", "c_mktsegment")
 
 
+@query
+def join_hash_hint(spark, d):
+    found = joins.join(parquet(spark, d, "orders"), parquet(spark, d, "customer"), "o_custkey", "c_custkey", "hash")
+    return found.select("o_orderkey", "c_custkey", "c_nationkey")
+
+
 @query
 def bucket_hash(spark, d):
     return parquet(spark, d, "customer").select("c_custkey", joins.bucket_of("c_custkey").alias("tag"))
@@ -104,7 +183,7 @@ def bucket_hash(spark, d):
 
 @query
 def shuffle_buckets(spark, d):
-    return groups.count(joins.to_buckets(scan(spark, d, "orders", ["o_custkey"]), "o_custkey"), ["tag"])
+    return groups.count(scan(spark, d, "orders", ["o_custkey"]).withColumn("tag", joins.bucket_of("o_custkey")), ["tag"])
 
 
 @query
@@ -141,12 +220,25 @@ def in_flag(spark, d):
     return joins.in_flag(scan(spark, d, "customer", ["c_custkey"]), urgent(spark, d), "c_custkey", "o_custkey")
 
 
-@query
-def join_sql(spark, d):
-    engine = Engine(spark)
+def engine_with(spark: SparkSession, d: str, *names: str, strict: bool = False) -> Engine:
+    """An engine whose database holds the named tables."""
+    engine = Engine(spark, strict)
     engine.execute("CREATE DATABASE tpch; USE tpch")
-    for name in ("supplier", "nation"):
+    for name in names:
         engine.catalog.attach(name, parquet(spark, d, name))
+    return engine
+
+
+@query
+def join_chain_sql(spark, d):
+    engine = engine_with(spark, d, "supplier", "nation", "region", strict=True)
+    out = engine.execute("SELECT s_suppkey, n_nationkey, r_regionkey FROM supplier JOIN nation ON supplier.s_nationkey = nation.n_nationkey JOIN region ON nation.n_regionkey = region.r_regionkey WHERE r_regionkey >= 2 AND s_suppkey <> 5")
+    return out.toDF("s_suppkey", "n_nationkey", "r_regionkey")
+
+
+@query
+def join_sql(spark, d):
+    engine = engine_with(spark, d, "supplier", "nation")
     out = engine.execute("SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON supplier.s_nationkey = nation.n_nationkey WHERE n_nationkey <> 3")
     return out.toDF("s_suppkey", "n_nationkey")
 
@@ -229,10 +321,7 @@ def sort_multi(spark, d):
 
 @query
 def sort_sql(spark, d):
-    engine = Engine(spark)
-    engine.execute("CREATE DATABASE tpch; USE tpch")
-    engine.catalog.attach("part", parquet(spark, d, "part"))
-    return engine.execute("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC")
+    return engine_with(spark, d, "part").execute("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC")
 
 
 @query
@@ -280,6 +369,8 @@ QUERIES |= {
     "ring_swap": on_lines(lambda: ring.swap(F.col(part) < F.col(supp), part, supp)[0].alias("lo"), lambda: ring.swap(F.col(part) < F.col(supp), part, supp)[1].alias("hi")),
     "ring_add": on_lines(lambda: ring.ring_add(part, supp, 8).alias("v")),
     "ring_mul": on_lines(lambda: ring.ring_mul(part, supp, 16).alias("v")),
+    "ring_set_bit": on_lines(lambda: ring.set_bit(part, 3, True).alias("v"), lambda: ring.set_bit(part, 0, False).alias("w")),
+    "ring_mux_bit": on_lines(lambda: ring.mux(ring.get_bit(part, 0), part, supp).alias("v")),
     "ring_bits": on_lines(lambda: ring.get_bit(part, 3).alias("v")),
     "share_bool": on_lines(_shared(ring.share_bool, ring.reconstruct_bool)),
     "share_arith": on_lines(_shared(ring.share_arith, ring.reconstruct_arith)),
@@ -305,15 +396,14 @@ def q1_topk_in(spark, d):
 @query
 def q2_recurrence(spark, d):
     done = filters.filter_and(parquet(spark, d, "orders"), ["o_orderstatus"], ["="], ["F"])
-    return groups.gaps_within(done, "o_custkey", "o_orderdate", "o_orderkey", F.expr("INTERVAL 15 DAYS"), F.expr("INTERVAL 56 DAYS")).select(F.col("o_custkey").alias("pid"))
+    return groups.gaps_within(done, "o_custkey", "o_orderdate", 15, 56).select(F.col("o_custkey").alias("pid"))
 
 
 @query
 def q3_first_before_last(spark, d):
-    events = parquet(spark, d, "events")
-    first = groups.minimum(filters.filter_and(events, ["event_type"], ["="], ["click"]), ["user_id"], "ts", "t_min")
-    last = groups.maximum(filters.filter_and(events, ["event_type"], ["="], ["purchase"]), ["user_id"], "ts", "t_max").withColumnRenamed("user_id", "m_user_id")
-    return filters.filter_and(joins.join(first, last, "user_id", "m_user_id"), ["t_min"], ["<="], [F.col("t_max")]).select(F.col("user_id").alias("pid"), "t_min", "t_max")
+    click, purchase = (filters.compare("event_type", "=", x) for x in ("click", "purchase"))
+    both = groups.first_and_last(parquet(spark, d, "events"), ["user_id"], "ts", click, purchase, "t_min", "t_max").filter("user_id is not null")
+    return filters.filter_and(both, ["t_min"], ["<="], [F.col("t_max")]).select(F.col("user_id").alias("pid"), "t_min", "t_max")
 
 
 @query
@@ -346,10 +436,25 @@ def q7_masked_sum(spark, d):
 
 @query
 def q8_histogram(spark, d):
-    hot = urgent(spark, d)
-    some = groups.histogram(hot, ["o_custkey"])
-    none = joins.anti_join(scan(spark, d, "customer", ["c_custkey"]), hot, "c_custkey", "o_custkey").agg(F.lit(0).cast("long").alias("c_count"), F.count("*").alias("custdist"))
-    return order.sort(order.union_all(some, none), ["custdist", "c_count"], False)
+    return order.sort(groups.histogram_with_zeros(scan(spark, d, "customer", ["c_custkey"]), "c_custkey", urgent(spark, d), "o_custkey"), ["custdist", "c_count"], False)
+
+
+def _table_sql(where: str, valid: str = "") -> str:
+    """The lines of a boxed table of region; valid: an expression for a further column of one digit."""
+    head = " $valid |" if valid else ""
+    mark = f" || ' ' || rpad(CAST({valid.removeprefix(', ')} AS VARCHAR), 7, ' ') || '|'" if valid else ""
+    rule = "'+' || repeat('-', k + 2) || '+' || repeat('-', n + 2) || '+'" + (" || '--------+'" if valid else "")
+    return f"""
+WITH r AS (SELECT * FROM region {where}), w AS (
+    SELECT CAST(greatest(11, max(length(CAST(r_regionkey AS VARCHAR)))) AS INTEGER) AS k, CAST(greatest(6, max(length(r_name))) AS INTEGER) AS n, count(*) AS rows FROM r
+)
+SELECT CAST(0 AS BIGINT) AS line, {rule} AS shown FROM w
+UNION ALL SELECT 1, '| ' || rpad('r_regionkey', k, ' ') || ' | ' || rpad('r_name', n, ' ') || ' |{head}' FROM w
+UNION ALL SELECT 2, {rule} FROM w
+UNION ALL SELECT 2 + row_number() OVER (ORDER BY r_regionkey), '| ' || rpad(CAST(r_regionkey AS VARCHAR), k, ' ') || ' | ' || rpad(r_name, n, ' ') || ' |'{mark} FROM r, w
+UNION ALL SELECT 3 + rows, {rule} FROM w
+UNION ALL SELECT 4 + rows, '(' || rows || CASE WHEN rows = 1 THEN ' row)' ELSE ' rows)' END FROM w
+"""
 
 
 #: DuckDB states each result on its own.
@@ -367,6 +472,20 @@ ORACLE: dict[str, str] = {
     "filter_range": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 100 AND o_custkey < 200",
     "filter_and": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber >= 2 AND l_suppkey < 50 AND l_partkey <> 3",
     "filter_colcol": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < l_tax",
+    "filter_shared": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 199",
+    "rename": "SELECT n_nationkey AS id, n_name AS label FROM nation",
+    "insert_rows": "SELECT * FROM (VALUES (CAST(-41 AS BIGINT), CAST(65535 AS BIGINT), CAST(1 AS BIGINT)), (42, 0, 0), (-9223372036854775807 - 1, 0, 0)) t(item, pieces, sold)",
+    "session_tables": "SELECT CAST(5 AS BIGINT) AS m, CAST(1 AS BIGINT) AS late",
+    "session_drop": "SELECT CAST(4294967295 AS BIGINT) AS b, CAST(3 AS BIGINT) AS c",
+    "where_sql": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 199 AND o_orderkey NOT IN (7, 9) AND o_orderkey <= 9000",
+    "ingest_rows": "SELECT k * k - 50 AS k, k % 16 AS small, k % 2 AS flag FROM range(20) t(k)",
+    "random_source": "SELECT CAST(1000 AS BIGINT) AS n, TRUE AS in_range, TRUE AS same",
+    "result_table": _table_sql("WHERE r_regionkey < 2"),
+    "debug_rows": _table_sql("", ", CASE WHEN r_regionkey < 2 THEN 1 ELSE 0 END"),
+    "join_hash_hint": "SELECT o_orderkey, c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey",
+    "join_chain_sql": "SELECT s_suppkey, n_nationkey, r_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey >= 2 AND s_suppkey <> 5",
+    "ring_set_bit": "SELECT l_orderkey, l_linenumber, l_partkey | 8 AS v, (l_partkey >> 1) << 1 AS w FROM lineitem",
+    "ring_mux_bit": "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 1 THEN l_partkey ELSE l_suppkey END AS v FROM lineitem",
     "compaction": "SELECT l_returnflag, COUNT(*) AS cnt FROM lineitem WHERE l_linenumber = 1 GROUP BY l_returnflag",
     "join_nested_loop": "SELECT n_nationkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_hash": "SELECT o_orderkey, c_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",

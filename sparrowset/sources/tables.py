@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparrowset.operators.filters import VALID, compact
+
 #: Declared types and the bit widths they store.
 INT_WIDTHS = (2, 4, 8, 16, 32, 64)
 
@@ -70,11 +72,30 @@ def random_table(spark: SparkSession, n: int, names: Sequence[str], seed: int =
     return spark.range(n).select(*[F.xxhash64("id", F.lit(seed), F.lit(k)).bitwiseAND(F.lit((1 << 63) - 1)).alias(name) for k, name in enumerate(names)])
 
 
-def text_table(df: DataFrame, limit: int | None = None) -> str:
-    """A boxed text table with a row count below, for a result that is small enough to print."""
-    found = (df.limit(limit) if limit is not None else df).collect()
+#: Rows that a text table shows unless it is told otherwise.
+SHOWN = 1000
+#: The debug table's name for the validity mark.
+VALID_HEAD = "$valid"
+
+
+def _boxed(df: DataFrame, limit: int) -> str:
+    found = df.limit(limit + 1).collect()
+    n = len(found) if len(found) <= limit else df.count()
+    found = found[:limit]
     cells = [df.columns, *[["" if v is None else str(v) for v in r] for r in found]]
     widths = [max(len(r[k]) for r in cells) for k in range(len(df.columns))]
     rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     body = ["|" + "|".join(f" {v:<{w}} " for v, w in zip(r, widths, strict=True)) + "|" for r in cells]
-    return "\n".join([rule, body[0], rule, *body[1:], rule, f"({len(found)} row{'' if len(found) == 1 else 's'})"])
+    total = f"({n} row{'' if n == 1 else 's'})" if n == len(found) else f"(first {len(found)} of {n} rows)"
+    return "\n".join([rule, body[0], rule, *body[1:], rule, total])
+
+
+def text_table(df: DataFrame, limit: int = SHOWN) -> str:
+    """A boxed text table of at most `limit` rows, the number of all rows below. Rows that aren't valid don't count."""
+    return _boxed(compact(df), limit)
+
+
+def debug_table(df: DataFrame, limit: int = SHOWN) -> str:
+    """The same with all rows, and whether each is valid in a last column."""
+    valid = F.col(VALID) if VALID in df.columns else F.lit(True)
+    return _boxed(df.select(*[f"`{c}`" for c in df.columns if c != VALID], valid.cast("int").alias(VALID_HEAD)), limit)

@@ -77,7 +77,9 @@ def test_order(left, right):
 def test_buckets(spark):
     df = spark.createDataFrame([(-5,), (0,), (1,), (33,)], "k long")
     assert [r["b"] for r in df.select(joins.bucket_of("k").alias("b")).collect()] == [-10, 17, 16, 16]
-    assert joins.to_buckets(df, "k").rdd.getNumPartitions() == 32
+    dealt = joins.to_buckets(df, "k").withColumn("p", F.spark_partition_id()).collect()
+    assert [r["tag"] for r in sorted(dealt, key=lambda r: r["k"])] == [-10, 17, 16, 16]
+    assert len({r["p"] for r in dealt if r["tag"] == 16}) == 1
 
 
 def test_relation_chains(left, right):
@@ -92,6 +94,51 @@ def test_text_table(left):
     assert text.splitlines() == ["+---+----+", "| k | v  |", "+---+----+", "| 1 | 10 |", "+---+----+", "(1 row)"]
 
 
+def test_text_tables_are_bounded_and_show_validity(left):
+    marked = filters.filter_and(left, ["k"], [">="], [2], keep_invalid=True)
+    assert tables.text_table(marked, 2).splitlines()[-1] == "(first 2 of 3 rows)"
+    assert tables.text_table(marked.limit(0)).splitlines()[-1] == "(0 rows)"
+    text = tables.debug_table(marked).splitlines()
+    assert text[1].endswith("| $valid |") and text[-1] == "(5 rows)" and sum(x.endswith("| 0      |") for x in text) == 2
+    assert tables.debug_table(left).count("| 1      |") == 5
+
+
+@pytest.mark.parametrize("offset,n", [(0, 3), (5, 20), (90, 30), (100, 5), (37, 1)])
+def test_far_slices(spark, offset, n):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("v"), F.lit("x").alias("s")).repartition(5)
+    want = [r["v"] for r in order.slice_rows(df, ["v"], offset, n).collect()]
+    assert [r["v"] for r in order.slice_rows(df, ["v"], offset, n, head_rows=0).collect()] == want == [*range(offset, min(100, offset + n))]
+
+
+def test_gaps(spark):
+    days = {1: [0, 15], 2: [0, 14, 28], 3: [0, 57], 4: [0, 56], 5: [3], 6: [0, 5, 10, 40], 7: [0, 0, 0], 8: [10, 12, 29, 29]}
+    df = spark.createDataFrame([(k, d) for k, v in days.items() for d in v] + [(9, None), (None, 0), (None, 20)], "k long, d int").select("k", F.expr("timestamp_ntz '2024-02-20 10:00:00' + make_dt_interval(d)").alias("t"))
+    assert values(groups.gaps_within(df, "k", "t", 15, 56)) == [(None,), (1,), (4,), (6,), (8,)]
+    assert values(groups.gaps_within(df.limit(0), "k", "t", 15, 56)) == []
+
+
+def test_first_and_last_and_zeros(spark, left, right):
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 3), (1, "a", 2), (2, "a", 1), (3, "c", 9)], "k long, e string, t long")
+    got = groups.first_and_last(df, ["k"], "t", F.col("e") == "a", F.col("e") == "b", "lo", "hi")
+    assert values(got) == [(1, 2, 3), (2, 1, None)]
+    assert values(groups.histogram_with_zeros(groups.keys(right, ["rk"]), "rk", left, "k")) == [(0, 2), (1, 3), (2, 1)]
+    assert values(groups.histogram_with_zeros(right.limit(0), "rk", left.limit(0), "k")) == [(0, 0)]
+
+
+def test_shared_constants(left):
+    found = filters.filter_shared(left, ["v"], [">"], [(20 ^ 77, 77)])
+    assert values(found) == [(None, 40), (2, 21)]
+
+
+def test_ingest(spark):
+    kind = tables.schema([("a", 8), ("f", 1)], "a")
+    assert values(tables.rows(spark, kind, [(255, 1), (0, 0)])) == [(0, 0), (255, 1)]
+    for bad in ([(256, 0)], [(1,)], [(1, 2)]):
+        with pytest.raises(ValueError):
+            tables.rows(spark, kind, bad)
+    assert tables.rows(spark, kind, []).count() == 0
+
+
 def test_streams_count_like_tables(spark, tmp_path):
     from sparrowset.streaming import counts
 

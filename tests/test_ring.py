@@ -89,3 +89,16 @@ def test_bits_mux_and_sum(spark, frame):
 def test_random_ints_are_the_same_again(spark):
     a, b = (ring.random_ints(spark, 100, seed=4).collect() for _ in range(2))
     assert a == b and all(0 <= r["value"] < 1 << 63 for r in a) and len({r["value"] for r in a}) == 100
+
+
+def test_sum_of_more_rows_than_a_long_of_halves_holds(spark):
+    """-1 added 2^31 + 9 times, in ANSI mode."""
+    n = (1 << 31) + 9
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert spark.range(n).agg(ring.wrap_sum(F.lit(-1)).alias("s")).first()["s"] == -n
+
+
+def test_mux_takes_bits_and_booleans(spark):
+    df = spark.createDataFrame([(1, True, 5, 6), (0, False, 5, 6), (None, None, 5, 6), (2, True, 5, 6)], "c int, b boolean, x long, y long")
+    got = df.select(ring.mux("c", "x", "y"), ring.mux(F.col("c"), "x", "y"), ring.mux("b", "x", "y"), ring.mux(F.col("b"), "x", "y")).collect()
+    assert [tuple(r) for r in got] == [(5, 5, 5, 5), (6, 6, 6, 6), (6, 6, 6, 6), (6, 6, 5, 5)]
