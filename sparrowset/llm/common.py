@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,14 +51,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once, written to the shared folder as compressed columns and read from there. For wide rows: later
-    reads take the columns they need. Names that differ in case only are kept apart."""
-    out = f"{work_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(out)
-    return df.sparkSession.read.parquet(out).toDF(*df.columns)
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -88,7 +79,7 @@ def tie_numbers(df: DataFrame, id_col: str, same: Sequence[Column], name: str) -
     ids = small_or_shuffled(ids)
     hit = ident.eqNullSafe(F.col(again))
     once = df.join(ids, hit, "left_anti").withColumn(name, F.lit(0).cast("long"))
-    many = stored(df.withColumns({key: F.xxhash64(*same), part: F.spark_partition_id()}).join(ids, hit, "left_semi"))
+    many = checkpointed(df.withColumns({key: F.xxhash64(*same), part: F.spark_partition_id()}).join(ids, hit, "left_semi"))
     bases = many.groupBy(F.col(key).alias("k"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
     bases = bases.select(F.col("k"), F.col("p"), F.coalesce(before, F.lit(0)).alias(base))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowset.llm.common import SPACE_CHARS, checkpointed, fresh, stored, text_of, words
+from sparrowset.llm.common import SPACE_CHARS, checkpointed, fresh, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -199,9 +199,9 @@ def quality_rules(df: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col:
     get one verdict. Without enough labelled good documents in a stratum no cutoff passes, and only the base rules
     reject there. An empty table stays empty. Columns of any name are allowed.
 
-    Each text is measured once: df with its numbers is written to the shared folder, where the cutoffs and the verdicts
-    read it. Texts are never shuffled.
+    Each text is measured once: df with its numbers is checkpointed in the shared folder, where the cutoffs and the
+    verdicts read it. Texts are never shuffled.
     """
     measured, names = measures(df, text_col)
-    measured = stored(measured)
+    measured = checkpointed(measured)
     return judge(measured, names, cutoffs_for(measured, names, labels, risk, id_col, lang_col), risk, lang_col)
