@@ -20,9 +20,9 @@ OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32),
 
 #: A worker's memo: a dict of at most NEAR pieces (about 170 bytes each) and two tables of at most FAR pieces each (about
 #: 30 bytes each). A full dict is folded into the newer table; when that is full it becomes the older one, and what is
-#: still used moves over. So the memo takes some 50 MB whatever the corpus.
+#: still used moves over. So the memo takes some 25 MB whatever the corpus.
 NEAR_PIECES = 50_000
-FAR_PIECES = 600_000
+FAR_PIECES = 200_000
 #: Longer pieces don't stay in the memo.
 MEMO_CHARS = 64
 
@@ -196,7 +196,7 @@ def encoder(path: str, added_as_text: bool = False) -> Encoder:
     return Encoder(path, added_as_text)
 
 
-def groups(column, chars: int = 1_000_000):
+def groups(column, chars: int = 300_000):
     """(first, texts) runs of an Arrow column, of about so many bytes: memory follows them and the longest text, not the
     batch."""
     import pyarrow.compute as pc
