@@ -96,11 +96,12 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         added = self.tokenizer.get_added_tokens_decoder()
         own = [t for t in added.values() if not (added_as_text and t.special)]
-        self.added = re.compile("|".join(re.escape(t.content) for t in own if t.content)) if own else None
+        self.added = [t.content for t in own if t.content]
         self.cuttable = self._is_byte_level() and not any(t.normalized or re.search(r"\s", t.content) for t in own)
         #: Byte-level vocabularies write each byte of a token as one character.
         self.n_bytes = np.array([0 if i in added else len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
         self.memo: dict[str, bytes] = {}
+        self.pending: dict[str, bytes] = {}  # what is in the dict and not in the newer table
         self.new, self.old = _Table(), _Table()
         self.near_pieces, self.far_pieces = near_pieces, far_pieces
 
@@ -149,28 +150,29 @@ class Encoder:
         return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
     def _fold(self) -> None:
-        """Empty the dict into the newer table."""
-        pieces = [*self.memo]
-        there = self.new.find(pieces)
-        self.new.add({k: v for k, v in self.memo.items() if k not in there})
-        self.memo = {}
+        """Empty the dict; what the newer table doesn't hold goes there."""
+        self.new.add(self.pending)
+        self.memo, self.pending = {}, {}
         if len(self.new) > self.far_pieces:
             self.old, self.new = self.new, _Table()
 
     def _learn(self, keys: set[str]) -> None:
         """Put the keys that the dict doesn't hold into it."""
-        for table in (self.new, self.old):
-            found = table.find([*keys])
-            self.memo.update(found)
-            keys = keys.difference(found)
+        found = self.new.find([*keys])
+        self.memo.update(found)
+        keys = keys.difference(found)
+        fresh = self.old.find([*keys])
+        keys = keys.difference(fresh)
         # those that may stand behind another piece in one string
         plain = [k for k in keys if k[0] != "\0" and not k[-1].isspace()]
         other = list(keys.difference(plain))
-        self.memo.update(zip(plain, self._joined([*map(self.piece, plain)]), strict=True))
-        self.memo.update(zip(other, self._apart([*map(self.piece, other)]), strict=True))
+        fresh.update(zip(plain, self._joined([*map(self.piece, plain)]), strict=True))
+        fresh.update(zip(other, self._apart([*map(self.piece, other)]), strict=True))
+        self.memo.update(fresh)
+        self.pending.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        whole = [bool(t) and (not self.cuttable or (self.added is not None and self.added.search(t) is not None)) for t in texts]
+        whole = [bool(t) and (not self.cuttable or any(a in t for a in self.added)) for t in texts]
         cut = [self.cut(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
         wanted = set().union(*cut)
         new = wanted.difference(self.memo)
