@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowset.llm.common import checkpointed
-from sparrowset.llm.tokenizing import END_ID, default_tokenizer, encoder, groups
+from sparrowset.llm.tokenizing import END_ID, FAR_PIECES, NEAR_PIECES, default_tokenizer, encoder, groups
 
 CAPACITY = 1024
 #: Patterns of three lengths beside all of two; if there are more, lengths of a coarser grid are combined.
@@ -168,15 +168,16 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, added_as_text: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces; null text is empty: the end id alone."""
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, added_as_text: bool = False, memo: tuple[int, int] = (NEAR_PIECES, FAR_PIECES)) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces; null text is empty: the end id alone. memo: the
+    encoder's, which changes its speed and memory only."""
     path = tokenizer or default_tokenizer()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
         import pyarrow as pa
 
-        enc, end = encoder(path, added_as_text), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, added_as_text, memo), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in groups(batch.column(1)):
@@ -191,7 +192,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, added_as_text: bool = False) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, added_as_text: bool = False, memo: tuple[int, int] = (NEAR_PIECES, FAR_PIECES)) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Repeated rows are packed each for themselves; rows with equal ids are told apart by start, length and content, and
@@ -201,7 +202,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     pieces of repeated rows are dealt out by the input's partition.
     """
     spark = df.sparkSession
-    found = checkpointed(pieces(df, id_col, text_col, tokenizer, capacity, end_id, added_as_text).withColumn("at", F.spark_partition_id()))
+    found = checkpointed(pieces(df, id_col, text_col, tokenizer, capacity, end_id, added_as_text, memo).withColumn("at", F.spark_partition_id()))
     total = np.zeros(capacity + 1, np.int64)
     for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # `capacity` numbers at most
         total[r["length"]] = r["n"]

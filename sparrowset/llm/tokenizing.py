@@ -20,9 +20,11 @@ OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32),
 
 #: A worker's memo: a dict of at most NEAR pieces (about 170 bytes each) and two tables of at most FAR pieces each (about
 #: 30 bytes each). A full dict is folded into the newer table; when that is full it becomes the older one, and what is
-#: still used moves over. So the memo takes some 25 MB whatever the corpus.
-NEAR_PIECES = 50_000
-FAR_PIECES = 200_000
+#: still used moves over. So the memo takes some 60 MB whatever the corpus.
+NEAR_PIECES = 100_000
+FAR_PIECES = 600_000
+#: A smaller memo, slower by a third, for jobs whose executors have little memory beside other stages.
+SMALL_MEMO = (50_000, 200_000)
 #: Longer pieces don't stay in the memo.
 MEMO_CHARS = 64
 
@@ -192,10 +194,10 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, added_as_text: bool = False) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, added_as_text: bool = False, memo: tuple[int, int] = (NEAR_PIECES, FAR_PIECES)) -> Encoder:
     """One for each Python worker, which Spark reuses from task to task."""
-    return Encoder(path, added_as_text)
+    return Encoder(path, added_as_text, *memo)
 
 
 def groups(column, chars: int = 300_000):
