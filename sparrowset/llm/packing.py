@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowset.llm.common import checkpointed
-from sparrowset.llm.tokenizing import END_ID, FAR_PIECES, NEAR_PIECES, default_tokenizer, encoder, groups
+from sparrowset.llm.tokenizing import END_ID, FAR_PIECES, NEAR_PIECES, default_tokenizer, encoder, groups, run_chars
 
 CAPACITY = 1024
 #: Patterns of three lengths beside all of two; if there are more, lengths of a coarser grid are combined.
@@ -180,7 +180,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         enc, end = encoder(path, added_as_text, memo), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in groups(batch.column(1)):
+            for first, texts in groups(batch.column(1), run_chars(memo)):
                 out: list[tuple] = []
                 for k, raw in enumerate(enc.ids(texts)):
                     raw += end

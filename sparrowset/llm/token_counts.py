@@ -22,7 +22,7 @@ def encoded_lengths(df: DataFrame, text_col: str = "text", tokenizer: str | None
 
         enc = encoder(path, added_as_text)
         for batch in batches:
-            for _, texts in groups(batch.column(0)):
+            for _, texts in groups(batch.column(0), 1_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 + end_ids for x in enc.ids(texts)], pa.int64())], ["length"])
 
     return df.select(F.col(text_col).alias("text")).mapInArrow(run, "length long")

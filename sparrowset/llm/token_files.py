@@ -55,7 +55,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
         dtype = np.dtype(f"<u{bits // 8}")
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for first, texts in groups(batch.column(1)):
+            for first, texts in groups(batch.column(1), 1_000_000):
                 own = [np.frombuffer(raw, "<u4").astype(dtype).tobytes() + end for raw in enc.ids(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(own)), pa.array(own, pa.binary())], ["doc_id", "ids"])
 

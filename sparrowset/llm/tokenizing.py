@@ -20,10 +20,10 @@ OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32),
 
 #: A worker's memo: a dict of at most NEAR pieces (about 170 bytes each) and two tables of at most FAR pieces each (about
 #: 30 bytes each). A full dict is folded into the newer table; when that is full it becomes the older one, and what is
-#: still used moves over. So the memo takes some 60 MB whatever the corpus.
-NEAR_PIECES = 100_000
-FAR_PIECES = 600_000
-#: A smaller memo, slower by a third, for jobs whose executors have little memory beside other stages.
+#: still used moves over. So the memo takes some 150 MB whatever the corpus.
+NEAR_PIECES = 400_000
+FAR_PIECES = 1_000_000
+#: A memo of 25 MB, slower by a third, for jobs whose executors have little memory beside other stages.
 SMALL_MEMO = (50_000, 200_000)
 #: Longer pieces don't stay in the memo.
 MEMO_CHARS = 64
@@ -200,6 +200,11 @@ def encoder(path: str, added_as_text: bool = False, memo: tuple[int, int] = (NEA
     return Encoder(path, added_as_text, *memo)
 
 
+def run_chars(memo: tuple[int, int]) -> int:
+    """How many characters to encode at once: more of them share more pieces, and take more memory beside the memo."""
+    return 1_000_000 if memo[0] >= NEAR_PIECES else 300_000
+
+
 def groups(column, chars: int = 300_000):
     """(first, texts) runs of an Arrow column, of about so many bytes: memory follows them and the longest text, not the
     batch."""
