@@ -21,10 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowset.llm.common import checkpointed
 from sparrowset.llm.tokenizing import END_ID, default_tokenizer, encoder, groups
 
-#: There are as many partitions as keep their mean size under this, and at least as many as shuffles have.
+#: There are as many partitions as keep the mean size of their texts under this, and at least as many as shuffles have.
 PARTITION_BYTES = 128 << 20
 
 
@@ -41,48 +40,35 @@ def id_bits(vocabulary: int) -> int:
     return 16 if vocabulary <= 1 << 16 else 32
 
 
-def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, added_as_text: bool = False) -> tuple[DataFrame, int]:
-    """(doc_id, ids: the bytes of each whole text's ids and the end id), and how many bits an id has."""
+def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None, added_as_text: bool = False) -> dict:
+    """Write the corpus of df to the shared folder; returns the manifest.
+
+    Documents come in ascending order of id, null first, equal ids by a hash of their text. Null text is empty: such a
+    document is the end id alone. An empty table gives a manifest without partitions. Partitions hold ranges of
+    documents, as many as keep the mean of their texts under PARTITION_BYTES; a task streams its documents into its
+    files. It writes under a name of its own try and the manifest lists the try that Spark counted, so lost or doubled
+    tasks leave only unused files. The driver gets three numbers and a name for each partition.
+
+    Texts are shuffled, once: compressed they are as small as their ids, and ids would have to be kept first, as dealing
+    out by ranges reads its input twice.
+    """
     path = tokenizer or default_tokenizer()
+    text = F.col(f"`{text_col}`")
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").drop("h")
     from tokenizers import Tokenizer
 
     bits = id_bits(Tokenizer.from_file(path).get_vocab_size())
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         enc = encoder(path, added_as_text)
         dtype = np.dtype(f"<u{bits // 8}")
         end = np.array([end_id], dtype).tobytes()
-        for batch in batches:
-            for first, texts in groups(batch.column(1), 1_000_000):
-                own = [np.frombuffer(raw, "<u4").astype(dtype).tobytes() + end for raw in enc.ids(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(own)), pa.array(own, pa.binary())], ["doc_id", "ids"])
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary"), bits
-
-
-def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None, added_as_text: bool = False) -> dict:
-    """Write the corpus of df to the shared folder; returns the manifest.
-
-    Documents come in ascending order of id, null first, equal ids by a hash of their ids. Null text is empty: such a
-    document is the end id alone. An empty table gives a manifest without partitions. Texts are encoded where they are
-    read; only ids (2 or 4 bytes each) are kept and shuffled. Partitions hold ranges of documents, as many as keep
-    their mean under PARTITION_BYTES; a task streams its documents into its files. It writes under a name of its own
-    try and the manifest lists the try that Spark counted, so lost or doubled tasks leave only unused files.
-    The driver gets three numbers and a name for each partition.
-    """
-    rows, bits = encoded(df, id_col, text_col, tokenizer, end_id, added_as_text)
-    rows = checkpointed(rows)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
-    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
-    rows = rows.withColumn("h", F.xxhash64("ids")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").drop("h")
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
         context = TaskContext.get()
         fs, base = _at(folder)
         fs.create_dir(base, recursive=True)
@@ -93,11 +79,12 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                 keys = batch.column(0)
                 ids.write(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 nulls.write(keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
-                sizes = np.fromiter((len(x.as_buffer()) for x in batch.column(1)), np.int64, len(batch)) // (bits // 8)
-                offsets.write((total + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
-                for own in batch.column(1):
-                    tokens.write(own.as_buffer())
-                docs, total = docs + len(batch), total + int(sizes.sum())
+                for _, texts in groups(batch.column(1), 1_000_000):
+                    own = [np.frombuffer(raw, "<u4").astype(dtype).tobytes() + end for raw in enc.ids(texts)]
+                    sizes = np.fromiter(map(len, own), np.int64, len(own)) // (bits // 8)
+                    tokens.write(b"".join(own))
+                    offsets.write((total + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
+                    docs, total = docs + len(own), total + int(sizes.sum())
             offsets.write(np.array([total], "<i8").tobytes())
         yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "name": name, "docs": docs, "tokens": total}])
 
