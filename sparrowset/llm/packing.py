@@ -30,6 +30,8 @@ MAX_TRIPLES = 120_000
 STEPS = 400
 #: Pieces of one length are numbered in shards of about so many; the driver-side table has a number for each shard.
 SHARD_PIECES = 20_000
+#: Smaller tables are numbered in about so many shards, so that a hot length's pieces are spread there, too.
+LEAST_SHARDS = 4_096
 
 
 def enumerate_patterns(capacity: int, present: np.ndarray, max_triples: int = MAX_TRIPLES) -> np.ndarray:
@@ -198,7 +200,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     Repeated rows are packed each for themselves; rows with equal ids are told apart by start, length and content, and
     are interchangeable where all of these agree. Null ids are packed like others. An empty table gives no rows. Other
     columns are not read. Only numbers are shuffled. Pieces of a length are numbered in as many shards as their count
-    asks, so no task sorts more than about shard_pieces of them; the shards' bases are prefix sums of counts. Equal
+    asks, so no task sorts more than about shard_pieces of them (in small tables, one LEAST_SHARDS-th of all); the shards'
+    bases are prefix sums of counts. Equal
     pieces of repeated rows are dealt out by the input's partition.
     """
     spark = df.sparkSession
@@ -206,7 +209,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     total = np.zeros(capacity + 1, np.int64)
     for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # `capacity` numbers at most
         total[r["length"]] = r["n"]
-    shards = np.maximum(1, -(-total // shard_pieces))
+    each = max(1, min(shard_pieces, int(total.sum()) // LEAST_SHARDS))
+    shards = np.maximum(1, -(-total // each))
     of = F.broadcast(spark.createDataFrame([(int(n), int(shards[n])) for n in np.flatnonzero(total)], "shard_length long, shards long"))
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "at"), F.col("shards")).cast("int")
     found = found.join(of, F.col("length") == F.col("shard_length")).withColumn("shard", shard).drop("shard_length", "shards")
