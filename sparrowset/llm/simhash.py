@@ -33,6 +33,8 @@ SEED = 42
 #: Shingles whose bits are counted at once, and rows of a bucket that are compared as one block.
 CHUNK = 1 << 15
 BLOCK = 1024
+#: Rows of one fingerprint find its component in so many shares.
+SALTS = 64
 #: Cost of a candidate pair, in entries.
 PAIR_COST = 0.1
 
@@ -327,7 +329,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text and text without words have fingerprint 0 and link like others. Null ids take their component's smallest
     id, which is null only where all ids are. Repeated rows stay. An empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(df, id_col, text_col, shingle))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = checkpointed(fingerprints(df, id_col, text_col, shingle).withColumn("salt", salt))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     # nodes order by their smallest id, so a component's least node has its smallest id and nothing is gathered by component
     nodes = distinct.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node"))
@@ -337,7 +340,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
     linked = roots.select(F.col("u.fp").alias("linked_fp"), F.col("root.least").alias("component_id"))
     answer = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(answer, "fp").select("id", "fp", "component_id")
+    # the answer of a fingerprint, copied to its salts: a row then needs (fp, salt), whose share of a hot one is 1 / SALTS
+    used = rows.groupBy("fp", "salt").agg(F.lit(1).alias("_")).drop("_")
+    return rows.join(used.join(answer, "fp"), ["fp", "salt"]).select("id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
