@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of their word shingles: every pair that reaches it, by prefix filtering.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash first, then an exact search for the rest.
+
+Fingerprints of the same shingles link at DISTANCE bits or fewer (simhash.py, by the pigeonhole principle); these links are
+checked on the shingles. No number of bits short of all 64 reaches every similar pair, so those that SimHash hasn't given
+are searched by prefix filtering, and nothing is lost.
+
 
 Put the shingles of all texts in one order. Two sets of a and b shingles with similarity 4/5 or more have at least
 4/9 (a + b) in common, so they share a shingle among the first a - ceil(4/5 a) + 1 and b - ceil(4/5 b) + 1: each set is
@@ -21,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowset.llm import simhash
 from sparrowset.llm.common import checkpointed, fresh, small_or_shuffled, text_of
 from sparrowset.llm.components import components, thinned
 from sparrowset.llm.tokenizing import groups
@@ -29,6 +35,9 @@ SHINGLE = 5
 #: The least similarity, NUM / DEN.
 NUM, DEN = 4, 5
 SEED = 42
+#: Bits in which the fingerprints of a pair may differ, and the cost of comparing two of them, in entries.
+DISTANCE = 8
+PAIR_COST = 0.01
 #: Texts in the sample that orders the shingles, and shingles that are put last at most.
 SAMPLE, COMMON = 4000, 50_000
 #: A bucket of up to so many sets gives all its pairs at once, a larger one those of NEXT neighbours.
@@ -354,19 +363,22 @@ def partial_roots(links: DataFrame, rounds: int = 3) -> DataFrame:
     return roots
 
 
-def links(texts: DataFrame, n: int, shingle: int = SHINGLE) -> DataFrame:
+def links(texts: DataFrame, n: int, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """u, v: pairs of similar texts that connect whatever all of them connect, without what connects nothing new in a task.
 
     texts: s, text, with s distinct; n: about how many.
 
-    Pairs that meet and that their maps allow are compared in full. What those that are similar connect leaves few
-    others to compare: pairs in large buckets that weren't paired at first and aren't connected so.
+    The pairs that SimHash links are compared in full, as are those others that meet in the prefix search and that their maps
+    allow. What those that are similar connect leaves few others to compare: pairs in large buckets that weren't paired at
+    first and aren't connected so.
     """
+    tried = simhash.near_texts(texts, shingle, distance, PAIR_COST)
     first = first_pairs(entries(texts, common_shingles(texts, n, shingle), shingle))
     some, many = first.filter("a is not null").select("a", "b", F.col("n_a").cast("long"), F.col("n_b").cast("long")).distinct(), first.filter("a is null").select("key", "s", "n", "at")
+    some = some.join(tried.hint("merge"), ["a", "b"], "left_anti")
     wanted = checkpointed(some.select(F.explode(F.array("a", "b")).alias("s")).unionByName(many.select("s")).distinct())
     maps = parity_maps(texts, wanted, shingle)
-    pairs = by_parity(by_parity(some, maps, "coarse"), maps, "fine").select("a", "b")
+    pairs = tried.unionByName(by_parity(by_parity(some, maps, "coarse"), maps, "fine").select("a", "b"))
     found = true_links(pairs, texts, shingle)
     thin = lambda links: links.select("u", "v").mapInArrow(thinned, "u long, v long")
     if many.isEmpty():
@@ -378,7 +390,7 @@ def links(texts: DataFrame, n: int, shingle: int = SHINGLE) -> DataFrame:
     return thin(found.unionByName(true_links(checkpointed(others.join(pairs, ["a", "b"], "left_anti")), texts, shingle)))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row of each group of rows that links of similar texts connect, with df's columns (of any other names).
 
     The row with the smallest id stays, null ids last; of equal ids the one with the smallest hash of its text, and of
@@ -396,7 +408,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     repeated = n < df.count()
     if repeated:  # of equal texts one is enough
         texts = texts.groupBy("s").agg(F.min("text").alias("text"))
-    found = links(texts, n, shingle)
+    found = links(texts, n, shingle, distance)
     for end in ("u", "v"):
         found = found.join(node.select(F.col("s").alias(f"s_{end}"), F.col("node").alias(f"node_{end}")), F.col(end) == F.col(f"s_{end}"))
     gone = small_or_shuffled(checkpointed(components(found.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))).select(F.col("u.s").alias("gone"))), LISTED)

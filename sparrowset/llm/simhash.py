@@ -134,13 +134,13 @@ def near_share(p: np.ndarray, t: int) -> float:
     return float(dist[: t + 1].sum())
 
 
-def plan(n: int, both: np.ndarray, distance: int = MAX_DISTANCE) -> list[tuple[int, int]]:
+def plan(n: int, both: np.ndarray, distance: int = MAX_DISTANCE, pair_cost: float = PAIR_COST) -> list[tuple[int, int]]:
     """(mask of a group's bits, threshold) for each group that is probed."""
     p = np.diag(both) / max(n, 1)
     best: tuple[float, list[tuple[int, int]]] | None = None
     for m in range(1, distance + 3):
         parts = group_bits(n, both, m)
-        cost = [[0.0] + [n * (1 + sum(comb(len(g), k) for k in range(1, t + 1)) / 2) + PAIR_COST * n * n / 2 * near_share(p[g], t) for t in range(min(distance, 2) + 1)] for g in parts]
+        cost = [[0.0] + [n * (1 + sum(comb(len(g), k) for k in range(1, t + 1)) / 2) + pair_cost * n * n / 2 * near_share(p[g], t) for t in range(min(distance, 2) + 1)] for g in parts]
         # least[s]: the cheapest thresholds so far with t + 1 summing to s; d + 1 is wanted
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for c in cost:
@@ -186,7 +186,7 @@ def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
 def forest(a: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Positions of links that connect whatever the links among a connect: at most len(a) - 1."""
     linked = near(a, a, distance)
-    todo, out = np.ones(len(a), bool), []
+    todo, out = linked.sum(1) > 1, []  # each is linked to itself
     while todo.any():
         front = np.array([int(todo.argmax())])
         todo[front] = False
@@ -295,9 +295,9 @@ def links_across(rows: DataFrame, distance: int) -> DataFrame:
     return both.select("a", "ca", F.col("fps").alias("b"), F.col("comps").alias("cb")).mapInArrow(across, "u long, v long")
 
 
-def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = BLOCK, pair_cost: float = PAIR_COST, stars_too: bool = True) -> DataFrame:
     """u, v: pairs that connect exactly the fingerprints connected by links of at most `distance` bits: such links
-    themselves, or the stars of the components they form.
+    themselves, or, unless stars_too is false, the stars of the components they form.
 
     fps: fp, distinct. Entries are sorted by bucket and stream through each task in blocks of at most block_rows. Within
     a block all pairs are verified, but only what connects something new in the task is emitted. Buckets of several
@@ -309,7 +309,7 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = B
     if n < 2:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     place = F.row_number().over(Window.partitionBy("part", "key").orderBy("fp")) - 1
-    all_entries = entries(fps, plan(n, both, distance))
+    all_entries = entries(fps, plan(n, both, distance, pair_cost))
     blocked = all_entries.withColumn("block", F.floor(place / block_rows).cast("long"))
     links = checkpointed(links_within(blocked, distance))
     large = checkpointed(all_entries.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("part", "key"))
@@ -320,7 +320,8 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = B
     rows = checkpointed(blocked.join(small_or_shuffled(large), ["part", "key"], "left_semi").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
     open_ = rows.groupBy("part", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("part", "key")
     rows = rows.join(small_or_shuffled(checkpointed(open_)), ["part", "key"], "left_semi")
-    return checkpointed(stars.select("u", F.col("root").alias("v")).unionByName(links_across(rows, distance)))
+    within = stars.select("u", F.col("root").alias("v")) if stars_too else links
+    return checkpointed(within.unionByName(links_across(rows, distance)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -345,5 +346,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(used.join(answer, "fp"), ["fp", "salt"]).select("id", "fp", "component_id")
 
 
+def near_texts(texts: DataFrame, shingle: int = SHINGLE, distance: int = MAX_DISTANCE, pair_cost: float = PAIR_COST) -> DataFrame:
+    """a, b (a < b): pairs of texts with at most `distance` differing bits, which connect all that such pairs connect.
+
+    texts: s, text, with s distinct and not null. Texts with one fingerprint are paired with the one of the least s. An
+    empty table gives no rows.
+    """
+    rows = checkpointed(fingerprints(texts, "s", "text", shingle))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("s"), F.count("*").alias("n")))
+    pairs = near_links(distinct.select("fp"), distance, pair_cost=pair_cost, stars_too=False)
+    for end in ("u", "v"):
+        pairs = pairs.join(distinct.hint("merge").select(F.col("fp").alias(f"fp_{end}"), F.col("s").alias(f"s_{end}")), F.col(end) == F.col(f"fp_{end}"))
+    same = rows.join(small_or_shuffled(distinct.filter("n > 1").select("fp", "s")), "fp").select(F.col("s").alias("s_u"), F.col("id").alias("s_v"))
+    pairs = pairs.select("s_u", "s_v").unionByName(same).filter("s_u <> s_v")
+    return checkpointed(pairs.select(F.least("s_u", "s_v").alias("a"), F.greatest("s_u", "s_v").alias("b")).distinct())
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from sparrowset.llm import jaccard
+from sparrowset.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,3 +130,32 @@ def test_partial_roots_are_connected(spark):
     got = {r["s"]: r["root"] for r in jaccard.partial_roots(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(r <= s and (r < 31) == (s < 31) for s, r in got.items())
     assert [got[k] for k in range(1, 9)] == [0] * 8 and got[105] == 100
+
+
+def near_copies(n):
+    """Texts k and 1000 + k, in whose middle one word of 300 differs."""
+    rows = []
+    for k in range(n):
+        base = [f"w{k}x{j}" for j in range(300)]
+        rows += [(k, " ".join(base)), (1000 + k, " ".join([*base[:150], "other", *base[151:]]))]
+    return rows
+
+
+def test_stage_links_by_simhash(spark, monkeypatch):
+    """With no other pairs than those that SimHash gives, near copies go and texts that only fingerprints link stay."""
+    rows = [*near_copies(20), (5000, "one two three"), (5001, "four five six")]
+    asked, first_pairs, fingerprint = [], jaccard.first_pairs, simhash.fingerprint
+    monkeypatch.setattr(jaccard, "first_pairs", lambda rows: first_pairs(rows).limit(0))
+    monkeypatch.setattr(simhash, "near_links", lambda fps, distance, *, f=simhash.near_links, **k: asked.append(distance) or f(fps, distance, **k))
+    assert all((fingerprint(a[1], 5) ^ fingerprint(b[1], 5)).bit_count() <= corpus_pipeline.NEAR_BITS for a, b in zip(rows[:40:2], rows[1:40:2], strict=True))
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*r, "en", "x", 1) for r in rows], SCHEMA), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(20), 5000, 5001]
+    assert asked == [corpus_pipeline.NEAR_BITS]
+
+
+def test_exact_search_leaves_out_what_simhash_gave(spark, monkeypatch):
+    asked, by_parity = [], jaccard.by_parity
+    monkeypatch.setattr(jaccard, "by_parity", lambda pairs, *a: asked.append(pairs.count()) or by_parity(pairs, *a))
+    texts = spark.createDataFrame(near_copies(20), "s long, text string")
+    assert {tuple(sorted((r["u"], r["v"]))) for r in jaccard.links(texts, 40).collect()} == {(k, 1000 + k) for k in range(20)}
+    assert asked and not any(asked)

@@ -117,3 +117,21 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (60, 61), (61, 60)]
     got = {r["u"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 150)}, 61: 60}
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_texts(spark, monkeypatch, block):
+    """Pairs within the distance only, stars left out, that connect what all of them connect; texts of one fingerprint too."""
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (4, block, *simhash.near_links.__defaults__[2:]))
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(80)]
+    texts = [" ".join(f"n{rng.integers(10**6)}" if rng.random() < 0.04 else w for w in words) for _ in range(80)]
+    texts += ["", " ", "\n", "Same  words here and there too", "same words here and there too"]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    got = [(r["a"], r["b"]) for r in simhash.near_texts(spark.createDataFrame(list(enumerate(texts)), "s long, text string"), 5, 8, 0.01).collect()]
+    assert all(a < b and (fps[a] ^ fps[b]).bit_count() <= 8 for a, b in got) and len(set(got)) == len(got)
+    tie = simhash.UnionFind()
+    for a, b in got:
+        tie.join(a, b)
+    assert [tie.root(k) for k in range(len(texts))] == slow_components(list(range(len(texts))), fps, 8)
+    assert simhash.near_texts(spark.createDataFrame([], "s long, text string")).count() == 0
