@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,33 @@ def thinned(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], ["u", "v"])
 
 
+def least_connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots): every node of the links, ascending, and the least node that it is connected to."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((further := root[root]) != root).any():
+            root = further
+
+
+def few_roots(links: DataFrame, few: int) -> DataFrame | None:
+    """s, root of all nodes of the links (u, v: long), found on the driver; None where there are more than `few` links.
+
+    links should be checkpointed: they are read twice. Rounds of joins cost the driver more memory than so few links."""
+    if links.limit(few + 1).count() > few:
+        return None
+    import pyarrow as pa
+
+    held = links.select("u", "v").toArrow()
+    nodes, roots = least_connected(*(held.column(c).to_numpy().astype(np.int64) for c in ("u", "v")))
+    return links.sparkSession.createDataFrame(pa.table({"s": nodes, "root": roots}))
+
+
 def _stars(links: DataFrame, least: DataFrame) -> DataFrame:
     """(v, m, u) for each link (u, v), where m is the least node beside u.
 
@@ -58,14 +86,17 @@ def _stars(links: DataFrame, least: DataFrame) -> DataFrame:
     return links.join(least, F.struct("u") == F.col("own")).select("v", "m", "u")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """u, root: for every node that has a link to another node, the least node it is connected to.
+def components(links: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
+    """u, root: for every node that has a link to another node and isn't the least, the least node it is connected to.
 
     links: u, v (orderable, not null). Each round is two aggregations with partial minima and two joins; it is written
     to the shared folder, so lineage stays short. Rounds end when the links are stars that no round changes; their
-    number grows with the logarithm of the longest path. Only a count and a checksum reach the driver.
+    number grows with the logarithm of the longest path. Only a count and a checksum reach the driver; but up to `few`
+    links, of long nodes, are joined there.
     """
     now = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    if few and (roots := few_roots(now, few)) is not None:
+        return roots.filter("s <> root").select(F.col("s").alias("u"), "root")
     state = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparrowset.llm import simhash
 from sparrowset.llm.common import checkpointed, fresh, small_or_shuffled, text_of
-from sparrowset.llm.components import components, thinned
+from sparrowset.llm.components import components, few_roots, thinned
 from sparrowset.llm.tokenizing import groups
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ COARSE, FINE = 2, 8
 BITS = (256, 1 << 22)
 #: Up to so many hashes of texts are broadcast, to pick those texts.
 LISTED = 200_000
+#: Up to so many links are joined on the driver, in arrays of some 10 MB.
+FEW_LINKS = 200_000
 #: Sets of a bucket that are compared as one block.
 BLOCK = 256
 #: A task holds so many rows of a bucket at most.
@@ -352,7 +354,10 @@ def other_pairs(rows: DataFrame, maps: DataFrame) -> DataFrame:
 
 def partial_roots(links: DataFrame, rounds: int = 3) -> DataFrame:
     """s, root: for each linked node, one it is connected to: the least it hears of in some rounds in which it asks its
-    neighbours and then the node that it has found. Nodes with one root are connected, which is all that is asked."""
+    neighbours and then the node that it has found. Nodes with one root are connected, which is all that is asked. Of up
+    to FEW_LINKS links it is the least node of all. links should be checkpointed."""
+    if (roots := few_roots(links, FEW_LINKS)) is not None:
+        return roots
     both = checkpointed(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     roots = both.select(F.col("u").alias("s"), F.col("u").alias("root")).distinct()
     for _ in range(rounds):
@@ -372,7 +377,7 @@ def links(texts: DataFrame, n: int, shingle: int = SHINGLE, distance: int = DIST
     allow. What those that are similar connect leaves few others to compare: pairs in large buckets that weren't paired at
     first and aren't connected so.
     """
-    tried = simhash.near_texts(texts, shingle, distance, PAIR_COST)
+    tried = simhash.near_texts(texts, shingle, distance, PAIR_COST, FEW_LINKS)
     first = first_pairs(entries(texts, common_shingles(texts, n, shingle), shingle))
     some, many = first.filter("a is not null").select("a", "b", F.col("n_a").cast("long"), F.col("n_b").cast("long")).distinct(), first.filter("a is null").select("key", "s", "n", "at")
     some = some.join(tried.hint("merge"), ["a", "b"], "left_anti")
@@ -408,10 +413,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     repeated = n < df.count()
     if repeated:  # of equal texts one is enough
         texts = texts.groupBy("s").agg(F.min("text").alias("text"))
-    found = links(texts, n, shingle, distance)
-    for end in ("u", "v"):
-        found = found.join(node.select(F.col("s").alias(f"s_{end}"), F.col("node").alias(f"node_{end}")), F.col(end) == F.col(f"s_{end}"))
-    gone = small_or_shuffled(checkpointed(components(found.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))).select(F.col("u.s").alias("gone"))), LISTED)
+    roots = components(links(texts, n, shingle, distance), few=FEW_LINKS)
+    members = checkpointed(roots.select(F.col("u").alias("s"), "root").unionByName(roots.select(F.col("root").alias("s"), "root").distinct()))
+    # the first of a component is found by partial minima, and the others by unique keys, so a large one isn't gathered
+    first = members.join(node, "s").groupBy("root").agg(F.min("node").alias("node")).select(F.col("node.s").alias("first"))
+    gone = members.select(F.col("s").alias("gone")).join(first, F.col("gone") == F.col("first"), "left_anti")
+    gone = small_or_shuffled(checkpointed(gone), LISTED)
 
     s = fresh("s", names)
     left = df.withColumn(s, text_key(text_col)).join(gone, F.col(s) == F.col("gone"), "left_anti")

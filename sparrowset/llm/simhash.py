@@ -295,7 +295,7 @@ def links_across(rows: DataFrame, distance: int) -> DataFrame:
     return both.select("a", "ca", F.col("fps").alias("b"), F.col("comps").alias("cb")).mapInArrow(across, "u long, v long")
 
 
-def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = BLOCK, pair_cost: float = PAIR_COST, stars_too: bool = True) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = BLOCK, pair_cost: float = PAIR_COST, stars_too: bool = True, few: int = 0) -> DataFrame:
     """u, v: pairs that connect exactly the fingerprints connected by links of at most `distance` bits: such links
     themselves, or, unless stars_too is false, the stars of the components they form.
 
@@ -315,7 +315,7 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block_rows: int = B
     large = checkpointed(all_entries.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("part", "key"))
     if large.isEmpty():
         return links
-    stars = components(links)
+    stars = components(links, few=few)
     comp = stars.select(F.col("u").alias("fp"), F.col("root").alias("comp"))
     rows = checkpointed(blocked.join(small_or_shuffled(large), ["part", "key"], "left_semi").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
     open_ = rows.groupBy("part", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("part", "key")
@@ -346,15 +346,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(used.join(answer, "fp"), ["fp", "salt"]).select("id", "fp", "component_id")
 
 
-def near_texts(texts: DataFrame, shingle: int = SHINGLE, distance: int = MAX_DISTANCE, pair_cost: float = PAIR_COST) -> DataFrame:
+def near_texts(texts: DataFrame, shingle: int = SHINGLE, distance: int = MAX_DISTANCE, pair_cost: float = PAIR_COST, few: int = 0) -> DataFrame:
     """a, b (a < b): pairs of texts with at most `distance` differing bits, which connect all that such pairs connect.
 
     texts: s, text, with s distinct and not null. Texts with one fingerprint are paired with the one of the least s. An
-    empty table gives no rows.
+    empty table gives no rows. few: as of components().
     """
     rows = checkpointed(fingerprints(texts, "s", "text", shingle))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("s"), F.count("*").alias("n")))
-    pairs = near_links(distinct.select("fp"), distance, pair_cost=pair_cost, stars_too=False)
+    pairs = near_links(distinct.select("fp"), distance, pair_cost=pair_cost, stars_too=False, few=few)
     for end in ("u", "v"):
         pairs = pairs.join(distinct.hint("merge").select(F.col("fp").alias(f"fp_{end}"), F.col("s").alias(f"s_{end}")), F.col(end) == F.col(f"fp_{end}"))
     same = rows.join(small_or_shuffled(distinct.filter("n > 1").select("fp", "s")), "fp").select(F.col("s").alias("s_u"), F.col("id").alias("s_v"))

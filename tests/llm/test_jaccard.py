@@ -159,3 +159,39 @@ def test_exact_search_leaves_out_what_simhash_gave(spark, monkeypatch):
     texts = spark.createDataFrame(near_copies(20), "s long, text string")
     assert {tuple(sorted((r["u"], r["v"]))) for r in jaccard.links(texts, 40).collect()} == {(k, 1000 + k) for k in range(20)}
     assert asked and not any(asked)
+
+
+def group_of_near_copies(copies=60, others=40):
+    rng = random.Random(9)
+    new = lambda: f"w{rng.randrange(10**6)}"
+    base = [new() for _ in range(200)]
+    near = [base[:k] + [new()] + base[k + 1 :] for k in range(copies)]
+    return [(k, " ".join(w), "en", "x", 1) for k, w in enumerate([*near, *[[new() for _ in range(30)] for _ in range(others)]])]
+
+
+def test_few_links_take_few_jobs(spark):
+    """Rounds of joins over a handful of links took the driver more memory than the links."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame(group_of_near_copies(), SCHEMA).repartition(4).localCheckpoint()
+    sc.setJobGroup("near stage", "")
+    try:
+        assert corpus_pipeline.near_duplicates(spark, df, "").count() == 41
+    finally:
+        sc._jsc.clearJobGroup()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("near stage"))
+    assert jobs < 140, jobs
+
+
+def test_stage_with_more_links_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW_LINKS", 0)
+    check(spark, [*group_of_near_copies(20, 5), (3, "other text", "", "", 1), (None, "other text", "", "", 1)])
+
+
+def test_links_on_the_driver_connect_the_same(spark):
+    from sparrowset.llm.components import components
+
+    rng = random.Random(3)
+    links = [(k, k + 1) for k in range(0, -200, -1)] + [(500, k) for k in range(501, 540)] + [(7, 7)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)]
+    df = spark.createDataFrame(links, "u long, v long")
+    assert sorted(components(df, few=10_000).collect()) == sorted(components(df).collect())
+    assert components(df.limit(0), few=10).count() == 0
