@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 
@@ -47,7 +48,7 @@ class _Table:
 
     @staticmethod
     def _second(pieces: list[str]) -> np.ndarray:
-        return np.fromiter((hash(p + "\0") for p in pieces), np.int64, len(pieces))
+        return np.fromiter(map(hash, map(add, pieces, repeat("\0"))), np.int64, len(pieces))
 
     def find(self, pieces: list[str]) -> dict[str, bytes]:
         """Those of the pieces that it holds."""
@@ -126,15 +127,12 @@ class Encoder:
         if not pieces:
             return []
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends, wanted = np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+        ends, wanted = np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
         at = np.searchsorted(ends, wanted)
         if ends[-1] != wanted[-1] or (ends[at] != wanted).any():
             return self._apart(pieces)
-        raw, out, last = ids.tobytes(), [], 0
-        for k in (4 * (at + 1)).tolist():
-            out.append(raw[last:k])
-            last = k
-        return out
+        raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -168,10 +166,13 @@ class Encoder:
         # those that may stand behind another piece in one string
         plain = [k for k in keys if k[0] != "\0" and not k[-1].isspace()]
         other = list(keys.difference(plain))
-        fresh.update(zip(plain, self._joined([*map(self.piece, plain)]), strict=True))
+        fresh.update(zip(plain, self._joined([k if k[0] == "\n" else " " + k for k in plain]), strict=True))
         fresh.update(zip(other, self._apart([*map(self.piece, other)]), strict=True))
         self.memo.update(fresh)
-        self.pending.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
+        self.pending.update(fresh)
+        for k in keys:
+            if len(k) > MEMO_CHARS:
+                del self.pending[k]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         whole = [bool(t) and (not self.cuttable or any(a in t for a in self.added)) for t in texts]
